@@ -223,13 +223,13 @@ def flag_block(t: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
         spike = np.zeros(len(v), bool)
         if len(mine) and mine.centers.iloc[0] is not None and len(mine.centers.iloc[0]):
             c, s = np.asarray(mine.centers.iloc[0], float), np.asarray(mine.spreads.iloc[0], float)
+            s = np.maximum(s, SHARED_NOISE * s.max())
             with np.errstate(invalid="ignore"):
                 spike = ~bad & ~stuck & ((np.abs(v[:, None] - c) / s).min(1) > DECIDE_SPREADS)
-        keys = t.loc[has, ["packet_id", "observation_key"]]
-        parts += [keys[m].assign(quantity=q, fault=f) for f, m in (("impossible", bad), ("stuck", stuck), ("spike", spike)) if m.any()]
-    if not parts:
-        return pd.DataFrame({"packet_id": [], "observation_key": [], "quantity": [], "fault": []})
-    return pd.concat(parts)
+        packet, name = t.packet_id.to_numpy()[has], t.observation_key.to_numpy(object)[has]
+        parts += [(packet[m], name[m], q, f) for f, m in (("impossible", bad), ("stuck", stuck), ("spike", spike)) if m.any()]
+    flat = lambda at, kind: np.concatenate([np.full(len(x[0]), x[at], object) if isinstance(x[at], str) else x[at] for x in parts] or [np.empty(0, kind)])
+    return pd.DataFrame({"packet_id": flat(0, np.int64), "observation_key": flat(1, object), "quantity": flat(2, object), "fault": flat(3, object)})
 
 
 def blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -265,16 +265,9 @@ def faults(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         F.collect_list(F.struct(F.col("a").alias("c"), F.col("b").alias("s"))).alias("l")
     )
     levels = levels.select("endpoint", "source", "quantity", F.transform("l", lambda x: x["c"]).alias("centers"), F.transform("l", lambda x: x["s"]).alias("spreads"))
-    info = edges.join(levels, ["endpoint", "source", "quantity"], "left").groupBy(*key).agg(
-        F.collect_list(F.struct("quantity", "first_run", "last_run", "centers", "spreads")).alias("info")
-    )
+    info = edges.join(levels, ["endpoint", "source", "quantity"], "left")
     schema = "packet_id bigint, observation_key string, quantity string, fault string"
-
-    def flag(t: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        rows = [r if isinstance(r, dict) else r.asDict() for r in i["info"].iloc[0]] if len(i) else []
-        return flag_block(t, pd.DataFrame(rows, columns=["quantity", "first_run", "last_run", "centers", "spreads"])) if len(t) else flag_block(t, i)
-
-    return b.groupBy(*key).cogroup(info.groupBy(*key)).applyInPandas(flag, schema)
+    return b.groupBy(*key).cogroup(info.groupBy(*key)).applyInPandas(flag_block, schema)
 
 
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
