@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN: str | None = None
 TOPOLOGY_MODES = ("watch-topology", "snapshot", "run")
 
 
@@ -42,10 +46,31 @@ def topology_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.join(at, "run_id").select("run_id", "endpoint", canonical_ms("captured_at").alias("at_ms")).dropna()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; only where that is unset, as in tests on one machine, a
+    temporary folder."""
+    global _OWN
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named and _OWN is None:
+        _OWN = tempfile.mkdtemp(prefix="airlattice-")
+        atexit.register(shutil.rmtree, _OWN, ignore_errors=True)
+    return named or f"file://{_OWN}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with checkpoint() in the folder named by spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a temporary folder is used."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="airlattice-"))
-    return df.checkpoint()
+    """df written as a table in the shared folder and read again: its lineage ends there, it is computed once, and the
+    loss of an executor loses none of it. The table goes when the process ends."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/airlattice-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may have ended before; what is left is in a folder for scratch
+        pass
