@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airlattice.tables import load, norm_id, topology_runs
+from airlattice.tables import cut, load, norm_id, topology_runs
 
 EARTH_KM = 6371.0088
 LEAF_ROWS = 4_000  #: points that one leaf should hold, about
@@ -156,7 +156,7 @@ def _pairs_in_leaf(tree: QuadTree, km: float):
         boxes = t[["w", "s", "e", "n"]].to_numpy()
         probing = np.flatnonzero(t.probing.to_numpy())
         rt, leaf = RTree(boxes), tree.box[key[1]]
-        ids, node = t.id.to_numpy(), t.is_node.to_numpy()
+        ids, node = t.id.to_numpy(object), t.is_node.to_numpy()
         lat, lon = t.lat.to_numpy(), t.lon.to_numpy()
         out = []
         for start in range(0, len(probing), 2048):
@@ -171,8 +171,9 @@ def _pairs_in_leaf(tree: QuadTree, km: float):
             q, i = q[ok], i[ok]
             ok = ~node[i] | (ids[q] < ids[i])
             q, i = q[ok], i[ok]
-            out.append(pd.DataFrame({"grp": key[0], "near_kind": np.where(node[i], "node", "cell"), "key_a": ids[q], "key_b": ids[i]}))
-        return pd.concat(out) if out else pd.DataFrame({"grp": [], "near_kind": [], "key_a": [], "key_b": []})
+            out.append((np.where(node[i], "node", "cell").astype(object), ids[q], ids[i]))
+        kind, a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, object),) * 3
+        return pd.DataFrame({"grp": np.full(len(kind), key[0], object), "near_kind": kind, "key_a": a, "key_b": b})
 
     return run
 
@@ -184,6 +185,7 @@ def near_pairs(points: DataFrame, km: float, leaf_rows: int = LEAF_ROWS) -> Data
     another point a `cell` pair. Both distances and boxes use lat and lon as they are.
     """
     points = points.filter("grp is not null and id is not null and abs(lat) <= 90 and abs(lon) <= 1e6").select("grp", "probes", "id", F.col("lat").cast("double"), F.col("lon").cast("double"))
+    points = cut(points)
     total = points.count()
     share = min(1.0, SAMPLE_ROWS / 2 / max(total, 1))
     sample = (points if share == 1.0 else points.sample(share, seed=7)).select("lat", "lon").limit(SAMPLE_ROWS).toPandas()
