@@ -58,9 +58,9 @@ def scale_epoch(n, xp=np):
     return xp.where(n < 10**11, n * (n < 10**11) * 1000, xp.where(n < 10**14, n, xp.where(n < 10**17, n // 1000, n // 10**6)))
 
 
-def parse_array(text: pa.Array, order: pa.Array | None) -> pa.Array:
-    """Each text's instant (utc_ms), or its wall time (wall_ms) with the zone it names, if it names one."""
-    n = len(text)
+def parse_array(text: pa.Array, order: pa.Array | None, zone: pa.Array | None, known: pa.Array) -> pa.Array:
+    """Each text's instant (utc_ms), or its wall time (wall_ms) with its zone: the one it names, else that of `zone`, or
+    UTC without it; only a known one."""
     got = pc.extract_regex(pc.fill_null(text.cast(pa.string()), ""), _PATTERN)
     matched = got.is_valid().to_numpy(zero_copy_only=False)
     cols = {f.name: got.field(i) for i, f in enumerate(got.type)}
@@ -110,9 +110,11 @@ def parse_array(text: pa.Array, order: pa.Array | None) -> pa.Array:
     utc = np.where(is_epoch, scale_epoch(e) + np.where(e < 10**11, f, 0), wall - minutes * 60_000)
     has_utc = (is_epoch & (e > 0)) | (valid & stated & ~is_epoch)
     has_wall = valid & ~stated & ~is_epoch
-    del n
+    at_zone = pc.coalesce(field("n"), pa.scalar("UTC") if zone is None else zone.cast(pa.string()))
+    in_zone = pc.and_(pa.array(has_wall), pc.is_in(at_zone, known))
+    at_zone = pc.if_else(in_zone, at_zone, pa.scalar(None, pa.string()))
     return pa.StructArray.from_arrays(
-        [pa.array(utc, pa.int64(), mask=~has_utc), pa.array(wall, pa.int64(), mask=~has_wall), field("n")], names=["utc_ms", "wall_ms", "zone"]
+        [pa.array(utc, pa.int64(), mask=~has_utc), pa.array(wall, pa.int64(), mask=~has_wall), at_zone], names=["utc_ms", "wall_ms", "zone"]
     )
 
 
@@ -121,10 +123,9 @@ def _offset_ms(at_ms: Column, zone: Column) -> Column:
     return F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(at_ms), zone)) - at_ms
 
 
-def _resolve(parsed: str, zone: Column, known: list[str], hint: Column | None) -> Column:
+def _resolve(parsed: str, hint: Column | None) -> Column:
     """The instant of a parsed struct: a wall time is read in its zone, by the JVM's zone rules."""
-    wall, z = F.col(parsed + ".wall_ms"), F.coalesce(F.col(parsed + ".zone"), zone)
-    z = F.when(wall.isNotNull() & z.isin(known), z)
+    wall, z = F.col(parsed + ".wall_ms"), F.col(parsed + ".zone")
     day = 86_400_000
     # A zone changes its offset at most once in two days: the offsets a day before and after are all that can hold.
     o1, o2 = _offset_ms(wall - day, z), _offset_ms(wall + day, z)
@@ -143,17 +144,18 @@ def with_instants(df: DataFrame, texts: dict[str, str], *, zone: dict[str, str]
     before, that decides between two readings of a wall time.
     """
     names = df.columns
+    known = pa.array(sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds().toArray()))
     fields = [f for f in df.schema.fields] + [T.StructField(f"__parsed_{o}", T._parse_datatype_string(_PARSED)) for o in texts.values()]
 
     def parse(batches):
         for b in batches:
-            arrays = [parse_array(b.column(names.index(t)), b.column(names.index(order[t])) if t in order else None) for t in texts]
+            of = lambda by, t: b.column(names.index(by[t])) if t in by else None
+            arrays = [parse_array(b.column(names.index(t)), of(order, t), of(zone, t), known) for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*names, *(f"__parsed_{o}" for o in texts.values())])
 
-    known = sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
     df = df.mapInArrow(parse, T.StructType(fields))
     for t, o in texts.items():
-        df = df.withColumn(o, _resolve(f"__parsed_{o}", F.col(zone[t]) if t in zone else F.lit("UTC"), known, F.col(hint[t]) if t in hint else None))
+        df = df.withColumn(o, _resolve(f"__parsed_{o}", F.col(hint[t]) if t in hint else None))
     return df.drop(*(f"__parsed_{o}" for o in texts.values()))
 
 
