@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airlattice.operators.timestamps import observation_instants
-from airlattice.tables import load, norm_id, topology_runs
+from airlattice.tables import cut, load, norm_id, topology_runs
 
 #: An orphan key's references may be a large part of all: both sides of the join back are spread over so many salts.
 SALTS = 16
@@ -52,7 +52,7 @@ def orphan_references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     """Every reference with its slot, and the orphan keys among them."""
     runs = topology_runs(spark, sf_dir)
     order = Window.partitionBy("endpoint").orderBy("at_ms", "run_id")
-    runs = runs.withColumn("slot", F.row_number().over(order))
+    runs = cut(runs.withColumn("slot", F.row_number().over(order)))
     starts = runs.groupBy("endpoint").agg(F.array_sort(F.collect_list("at_ms")).alias("starts"))
     last = runs.groupBy("endpoint").agg(F.max("slot").alias("last"))
 
@@ -76,6 +76,8 @@ def orphan_references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
         .filter(F.col("key").isNotNull())
     )
 
+    refs = cut(refs)
+
     def present(table: str, key: str) -> DataFrame:
         got = load(spark, sf_dir, table).select("run_id", norm_id(key).alias("key")).dropna()
         return got.join(runs, "run_id").select("endpoint", "key", "slot").distinct()
