@@ -155,8 +155,8 @@ def changes(records: DataFrame, runs: DataFrame) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p4_found: run_id, pubkey, change_kind."""
-    runs = topology_runs(spark, sf_dir)
+    runs = cut(topology_runs(spark, sf_dir))
     nodes = load(spark, sf_dir, "nodes_snapshot").select("run_id", norm_id("pubkey").alias("pubkey"), "lat", "lon").filter("pubkey is not null")
     nodes = nodes.join(runs.select("run_id"), "run_id", "left_semi")
     records = nodes.groupBy("run_id", "pubkey").agg(F.min(F.struct("lat", "lon")).alias("p")).select("run_id", "pubkey", "p.lat", "p.lon")
-    return changes(records, runs)
+    return changes(cut(records), runs)
