@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airlattice.tables import load, norm_id
+from airlattice.tables import cut, load, norm_id
 
 BLOCK_ROWS = 20_000  #: rows of a source that one block holds, about
 STUCK_RUN = 10
@@ -245,9 +245,9 @@ def faults(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(packet_id, observation_key, quantity, fault). rows: endpoint, source, packet_id, observation_key, rssi, snr."""
     rows = rows.filter("endpoint is not null and source is not null and packet_id is not null").distinct()
     rows = rows.select("*", *(F.col(q).isNotNull().alias(f"has_{q}") for q in QUANTITIES))  # pandas would take null for NaN
-    b = blocks(rows, block_rows)
+    b = cut(blocks(rows, block_rows))
     key = ["endpoint", "source", "blk"]
-    summary = b.groupBy(*key).applyInPandas(_block_summary, _SUMMARY)
+    summary = cut(b.groupBy(*key).applyInPandas(_block_summary, _SUMMARY))
 
     # Runs that touch block edges: a source has at most two a block and quantity.
     edges = summary.filter("kind = 'edge'").select(*key, "quantity", F.explode(F.array(
