@@ -93,7 +93,7 @@ def u2(spark, d):
     return observed(spark, d).select("endpoint", "observer_id")
 
 
-@query("p17_valid_locations", f"SELECT run_id, count(*) AS rows_, count(*) FILTER (WHERE {_OK.format('lat', 'lon')}) AS located FROM nodes_snapshot GROUP BY run_id")
+@query("pp17_valid_locations", f"SELECT run_id, count(*) AS rows_, count(*) FILTER (WHERE {_OK.format('lat', 'lon')}) AS located FROM nodes_snapshot GROUP BY run_id")
 def p17(spark, d):
     return load(spark, d, "nodes_snapshot").groupBy("run_id").agg(F.count("*").alias("rows_"), F.count_if(valid_location("lat", "lon")).alias("located"))
 
@@ -252,7 +252,7 @@ def a28(spark, d):
     return r.join(now, "endpoint").filter("sent_ms > now - 86400000 and sent_ms <= now").groupBy("endpoint").agg(F.count("*").alias("day_requests"))
 
 
-@query("p15_neighbor_batch", _CTE + f""", used AS (SELECT endpoint, max(sent_ms) AS now FROM request_log WHERE sent_ms < 100000000000000 GROUP BY endpoint),
+@query("pp15_neighbor_batch", _CTE + f""", used AS (SELECT endpoint, max(sent_ms) AS now FROM request_log WHERE sent_ms < 100000000000000 GROUP BY endpoint),
   asked AS (SELECT endpoint, neighbor, max(sent_ms) AS last FROM request_log WHERE sent_ms < 100000000000000 AND neighbor IS NOT NULL GROUP BY ALL)
   SELECT endpoint, pubkey, CAST(refreshed AS BIGINT) AS refreshed, CAST(place AS INT) AS place FROM (
     SELECT n.endpoint, n.pubkey, coalesce(a.last, 0) AS refreshed, row_number() OVER (PARTITION BY n.endpoint ORDER BY coalesce(a.last, 0), n.pubkey) AS place
@@ -270,7 +270,7 @@ def p15(spark, d):
     return n.withColumn("place", place).filter("place <= 300").select("endpoint", "pubkey", "refreshed", "place")
 
 
-@query("p16_measured_hops", _CTE + """, g AS (SELECT *, CASE WHEN json_array_length(path_prefixes) = 0 THEN sender_pubkey ELSE resolved_path ->> '$[#-1]' END AS last_hop, CASE WHEN json_array_length(path_prefixes) = 0 THEN 1 ELSE 0 END AS zero_hop FROM obs
+@query("pp16_measured_hops", _CTE + """, g AS (SELECT *, CASE WHEN json_array_length(path_prefixes) = 0 THEN sender_pubkey ELSE resolved_path ->> '$[#-1]' END AS last_hop, CASE WHEN json_array_length(path_prefixes) = 0 THEN 1 ELSE 0 END AS zero_hop FROM obs
     WHERE path_prefixes IS NULL OR json_valid(path_prefixes)), h AS (SELECT *, lower(last_hop) AS lh FROM g WHERE direction = 'rx' AND last_hop IS NOT NULL AND observer_id IS NOT NULL)
   SELECT endpoint, packet_id, observation_key, lh AS last_hop, observer_id, zero_hop, CASE WHEN rssi < 0 THEN rssi END AS rssi FROM h WHERE lh <> observer_id""")
 def p16(spark, d):

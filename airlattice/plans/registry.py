@@ -1,4 +1,8 @@
-"""A place for queries with their SQL."""
+"""A place for queries with their SQL.
+
+Names begin with the id of the operator in the inventory; its predicates P1 to P22 are pp1 to pp22, as p1 to p9 are the
+queries of the training-data problems.
+"""
 
 from __future__ import annotations
 
