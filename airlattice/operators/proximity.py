@@ -152,7 +152,7 @@ _PLACED = "grp string, leaf bigint, salt bigint, probing boolean, is_node boolea
 
 
 def _pairs_in_leaf(tree: QuadTree, km: float):
-    def run(key, t: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         boxes = t[["w", "s", "e", "n"]].to_numpy()
         probing = np.flatnonzero(t.probing.to_numpy())
         rt, leaf = RTree(boxes), tree.box[key[1]]
@@ -202,7 +202,7 @@ def mesh_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = topology_runs(spark, sf_dir)
     last = runs.groupBy("endpoint").agg(F.max_by("run_id", F.struct("at_ms", "run_id")).alias("run_id"))
     counts = (F.col("lat").between(-90, 90)) & F.col("lon").between(-180, 180) & ~((F.col("lat") == 0) & (F.col("lon") == 0))
-    nodes = load(spark, sf_dir, "nodes_snapshot").filter(counts).join(last, "run_id")
+    nodes = load(spark, sf_dir, "nodes_snapshot").select("run_id", "pubkey", "lat", "lon").filter(counts).join(last, "run_id")
     nodes = nodes.select(F.col("endpoint").alias("grp"), F.lit(True).alias("probes"), norm_id("pubkey").alias("id"), "lat", "lon")
     cells = load(spark, sf_dir, "coverage").select(
         F.col("endpoint").alias("grp"), F.lit(False).alias("probes"), F.concat_ws("/", "job_id", F.col("index").cast("string")).alias("id"),

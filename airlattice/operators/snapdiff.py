@@ -100,13 +100,13 @@ def _tables(elements: DataFrame, pairs: DataFrame, third: int) -> DataFrame:
 def _peeled(cells: DataFrame, third: int) -> DataFrame:
     """(pair, bucket, k): the differing key hashes; for a bucket that failed one row without k."""
 
-    def run(key, t: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         k, _, done = peel(*(t[x].to_numpy() for x in ("cell", "n", "k", "d", "c")), third)
         got = pd.array(np.unique(k) if done else [None], dtype="Int64")
         return pd.DataFrame({"pair": key[0], "bucket": key[1], "k": got})
 
     # As small tables come in thousands, a group is many buckets' cells: one per task-sized block of buckets.
-    def block(_, t: pd.DataFrame) -> pd.DataFrame:
+    def block(_: tuple, t: pd.DataFrame) -> pd.DataFrame:
         parts = [run(key, g) for key, g in t.groupby(["pair", "bucket"], sort=False)]
         return pd.concat(parts) if parts else pd.DataFrame({"pair": [], "bucket": [], "k": []})
 

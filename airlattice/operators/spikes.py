@@ -187,7 +187,7 @@ def _usable(quantity: str, v: np.ndarray) -> np.ndarray:
     return v[~impossible(quantity, v) & ~long[number]]
 
 
-def _block_summary(_, t: pd.DataFrame) -> pd.DataFrame:
+def _block_summary(_: tuple, t: pd.DataFrame) -> pd.DataFrame:
     """A block's levels (kind level) and its first and last run of each quantity (kind edge)."""
     t = t.sort_values(["packet_id", "observation_key"])
     out = []
