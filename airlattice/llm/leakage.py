@@ -162,7 +162,10 @@ def _verify(items: dict[int, np.ndarray]):
 
 def _block(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
     spark = docs.sparkSession
+    empty = spark.createDataFrame([], "item_id bigint, doc_id bigint, share double")
     item_words = {i: w for i, w in zip(ids, _item_words(texts), strict=True) if len(w)}
+    if not item_words:
+        return empty
     rows = [
         (int(i), s, len(w), int(least_shared(len(w))))
         for i, w in item_words.items()
@@ -209,7 +212,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         if size >= BLOCK_WORDS:
             part = cut(_block(docs, ids, texts))
             out, ids, texts, size = part if out is None else out.unionByName(part), [], [], 0
-    if ids or out is None:
+    if not ids and out is None:
+        return docs.sparkSession.createDataFrame([], "item_id bigint, doc_id bigint, share double")
+    if ids:
         part = _block(docs, ids, texts)
         out = part if out is None else out.unionByName(part)
     return out.groupBy("item_id", "doc_id").agg(F.max("share").alias("share"))

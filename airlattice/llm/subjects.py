@@ -316,7 +316,9 @@ def topical_terms(terms: DataFrame, labels: DataFrame, names: list[str]) -> Lexi
 def subjects_of(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """(doc_id, subject, share). docs: doc_id, text; labels: doc_id, subject; subjects: subject, a closed list."""
     names = sorted(r.subject for r in subjects.select("subject").dropna().distinct().toLocalIterator())
-    number = F.array_position(F.array(*(F.lit(x) for x in names)), F.col("subject")) - 1 if names else F.lit(-1).cast("bigint")
+    if not names:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, subject string, share double")
+    number = F.array_position(F.array(*(F.lit(x) for x in names)), F.col("subject")) - 1
     labels = labels.dropna().distinct().select("doc_id", number.alias("subject")).filter("subject >= 0")
     docs = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
     terms = cut(docs.mapInArrow(_count_terms, "doc_id bigint, terms array<bigint>, counts array<int>"))
