@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlattice.functions import rf
+from airlattice.tables import cut
 
 TILE = 64
+SAMPLES_PER_TASK = 60_000  #: samples are made in tasks of about so many, however few rows their links take
+BROADCAST_TILES = 1_000  #: tiles (of 34 kB each) up to which every executor gets all; more are joined by key
 
 
 def tile_lattice(lattice: DataFrame, tile: int = TILE) -> DataFrame:
@@ -24,8 +27,15 @@ def tile_lattice(lattice: DataFrame, tile: int = TILE) -> DataFrame:
     t = lambda c: F.floor(F.col(c) / tile).cast("int")
     rows = lattice.withColumn("tx", F.explode(near(F.col("ix"), t("ix")))).withColumn("ty", F.explode(near(F.col("iy"), t("iy"))))
     at = (F.col("iy") - F.col("ty") * tile) * (tile + 1) + (F.col("ix") - F.col("tx") * tile)
-    held = rows.groupBy("tx", "ty").agg(F.map_from_entries(F.collect_list(F.struct(at.cast("int"), "z"))).alias("m"))
-    return held.select("tx", "ty", F.transform(F.sequence(F.lit(0), F.lit((tile + 1) ** 2 - 1)), lambda i: F.try_element_at("m", i)).alias("block"))
+    held = rows.groupBy("tx", "ty").agg(F.array_sort(F.collect_list(F.struct(at.cast("int").alias("at"), "z"))).alias("l"))
+    whole = (tile + 1) ** 2
+    # A tile that lacks nodes at the raster's edge is filled by place; others are whole as they are.
+    filled = F.aggregate(
+        "l", F.struct(F.array().cast("array<double>").alias("z"), F.lit(0).alias("n")),
+        lambda acc, x: F.struct(F.concat(acc["z"], F.array_repeat(F.lit(None).cast("double"), x["at"] - acc["n"]), F.array(x["z"])).alias("z"), (x["at"] + 1).alias("n")),
+        lambda acc: F.concat(acc["z"], F.array_repeat(F.lit(None).cast("double"), F.lit(whole) - acc["n"])),
+    )
+    return held.select("tx", "ty", F.when(F.size("l") == whole, F.transform("l", lambda x: x["z"])).otherwise(filled).alias("block"))
 
 
 def with_ground(points: DataFrame, tiles: DataFrame, x: str, y: str, out: str, res: float, tile: int = TILE) -> DataFrame:
@@ -70,12 +80,18 @@ def evaluate(links: DataFrame, tiles: DataFrame, radio: rf.Radio, res: float, *,
     state: `profile cap`, `coincident`, `missing terrain` or null; the rest is null where state isn't.
     """
     keep = links.columns
+    tiles = cut(tiles)
+    if tiles.count() <= BROADCAST_TILES:
+        tiles = F.broadcast(tiles)
     links = links.dropna(subset=["link_id", "ax", "ay", "bx", "by"])
     links = links.withColumn("d", rf.planar_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
     links = links.withColumn("n", rf.sample_count(F.col("d"), radio.sample_step_m, res))
     gate = F.when(F.col("n") > radio.max_samples, "profile cap").when(F.col("d") == 0, "coincident")
-    links = links.withColumn("gate", gate)
+    links = cut(links.withColumn("gate", gate))
     ok = links.filter("gate is null").select("link_id", "ax", "ay", "ah", "bx", "by", "bh", "d", "n")
+    # Shared out by the samples to come; the aggregation by link needs no other shuffle then.
+    samples = ok.agg(F.sum("n")).first()[0] or 0
+    ok = ok.repartition(max(1, -(-samples // SAMPLES_PER_TASK)), "link_id")
     ok = with_ground(with_ground(ok, tiles, "ax", "ay", "za", res), tiles, "bx", "by", "zb", res)
     ok = ok.withColumns({"ta": F.col("za") + F.col("ah"), "tb": F.col("zb") + F.col("bh")})
     s = with_ground(profile_samples(ok, radio, res), tiles, "px", "py", "z", res)
