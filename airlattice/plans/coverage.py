@@ -67,16 +67,23 @@ def a5(spark, d):
 
 @query("pp11_usable_by_mode", _CTE + """ SELECT job_id, cell, max(downlink_margin_db) FILTER (WHERE valid_downlink) + 0e0 AS downlink, max(uplink_margin_db) FILTER (WHERE valid_uplink) + 0e0 AS uplink,
   max(two_way_margin_db) FILTER (WHERE valid_two_way) + 0e0 AS two_way, count(*) FILTER (WHERE valid_two_way) AS overlap FROM e GROUP BY ALL""")
-def p11(spark, d):
+def pp11(spark, d):
     m = lambda x: (F.max(F.when(F.col(f"valid_{x}"), F.col(f"{x}_margin_db"))) + 0.0).alias(x)
     return entries(spark, d).groupBy("job_id", "cell").agg(m("downlink"), m("uplink"), m("two_way"), F.count_if("valid_two_way").alias("overlap"))
 
 
-@query("f38_colour_classes", _CTE + """ SELECT job_id, CASE WHEN state <> 'covered' THEN 5 WHEN best_margin_db >= 10 THEN 1 WHEN best_margin_db >= 5 THEN 2 WHEN best_margin_db >= 0 THEN 3 ELSE 4 END AS colour, count(*) AS n FROM cells GROUP BY ALL""")
+@query("f38_colour_classes", _CTE + """, m AS (SELECT job_id, cell, unnest(['downlink', 'uplink', 'two_way', 'overlap']) AS mode FROM cells), x AS (SELECT m.job_id, m.cell, m.mode,
+    max(CASE m.mode WHEN 'downlink' THEN CASE WHEN valid_downlink THEN downlink_margin_db END WHEN 'uplink' THEN CASE WHEN valid_uplink THEN uplink_margin_db END ELSE CASE WHEN valid_two_way THEN two_way_margin_db END END) AS best,
+    count(*) FILTER (WHERE valid_two_way) AS n FROM m LEFT JOIN e ON e.job_id = m.job_id AND e.cell = m.cell GROUP BY ALL)
+  SELECT job_id, mode, CASE WHEN mode = 'overlap' THEN CASE n WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END WHEN best >= 10 THEN 1 WHEN best >= 5 THEN 2 WHEN best >= 0 THEN 3 ELSE 4 END AS colour, count(*) AS n_cells FROM x GROUP BY ALL""")
 def f38(spark, d):
-    m = F.col("best_margin_db")
-    c = F.when(F.col("state") != "covered", 5).when(m >= 10, 1).when(m >= 5, 2).when(m >= 0, 3).otherwise(4)
-    return cells(spark, d).groupBy("job_id", c.alias("colour")).agg(F.count("*").alias("n"))
+    """A cell's colour class in each mode: by the best usable margin, in overlap by the number of usable sources."""
+    m = pp11(spark, d)
+    c = cells(spark, d).select("job_id", "cell").join(m, ["job_id", "cell"], "left")
+    by = lambda v: F.when(v >= 10, 1).when(v >= 5, 2).when(v >= 0, 3).otherwise(4)
+    over = F.greatest(F.lit(4) - F.coalesce("overlap", F.lit(0)), F.lit(1)).cast("int")
+    modes = F.array(*(F.struct(F.lit(x).alias("mode"), by(F.col(x)).alias("colour")) for x in ("downlink", "uplink", "two_way")), F.struct(F.lit("overlap").alias("mode"), over.alias("colour")))
+    return c.select("job_id", F.explode(modes).alias("m")).groupBy("job_id", "m.mode", "m.colour").agg(F.count("*").alias("n_cells"))
 
 
 @query("pp20_grid_reconstruction", _CTE + """, g AS (SELECT job_id, unnest(range(max(cell) + 1)) AS cell FROM cells GROUP BY job_id)

@@ -25,16 +25,41 @@ def fixed(c: str, places: int):
     return F.format_string(f"%.{places}f", F.col(c))
 
 
+# The columns of a route table.
+ROUTE_FIELDS = ["hop", "from", "to", "distance_km", "fspl_db", "diffraction_loss_db", "total_path_loss_db", "rx_power_dbm", "sensitivity_dbm", "raw_margin_db", "fade_adjusted_margin_db", "reverse_margin_db", "worst_margin_db", "minimum_fresnel_clearance_percent", "los_clear", "valid"]
+ROUTE_PLACES = {"distance_km": 3, "minimum_fresnel_clearance_percent": 1}
+
+
 def route_csv(links: DataFrame) -> DataFrame:
-    """K5: one text column of CRLF-free lines of a route's links, numbers in fixed decimals, True and False in words."""
-    flag = lambda c: F.when(F.col(c), "True").otherwise("False")
-    columns = [F.col("link_id"), fixed("distance_m", 1), fixed("two_way_db", 2), fixed("diffraction_db", 2), fixed("clearance_m", 2), fixed("fresnel_ratio", 3), flag("los_clear"), flag("valid")]
-    quoted = [F.when(c.cast("string").rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c.cast("string"), F.lit(""))) for c in columns]
-    return links.select(F.concat_ws(",", *quoted).alias("value"))
+    """K5: (hop, value): lines of a route table, the header as hop 0. links has ROUTE_FIELDS; numbers come in fixed decimals,
+    flags as True and False, nulls empty, text quoted where it must be."""
+    flag = lambda c: F.when(F.col(c), "True").when(~F.col(c), "False").otherwise("")
+    text = lambda c: F.when(F.col(c).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c), F.lit("")))
+
+    def one(c: str):
+        if c in ("los_clear", "valid"):
+            return flag(c)
+        if c in ("from", "to"):
+            return text(c)
+        return F.col(c).cast("string") if c == "hop" else F.when(F.col(c).isNull(), "").otherwise(fixed(c, ROUTE_PLACES.get(c, 2)))
+
+    rows = links.select("hop", F.concat_ws(",", *(one(c) for c in ROUTE_FIELDS)).alias("value"))
+    head = links.sparkSession.createDataFrame([(0, ",".join(ROUTE_FIELDS))], "hop int, value string")
+    return head.unionByName(rows.withColumn("hop", F.col("hop").cast("int")))
+
+
+def route_features(links: DataFrame, sites: DataFrame) -> DataFrame:
+    """K6: (place, value): GeoJSON features of a route, its sites as points and its links as lines. sites: id, lon, lat, kind."""
+    feature = lambda kind, at, props: F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), at.alias("coordinates")).alias("geometry"), props.alias("properties")))
+    points = sites.select(F.concat(F.lit("0/"), "id").alias("place"), feature("Point", F.array("lon", "lat"), F.struct("id", "kind")).alias("value"))
+    end = lambda c: sites.select(F.col("id").alias(c), F.array("lon", "lat").alias(f"{c}_at"))
+    lines = links.join(end("from"), "from").join(end("to"), "to")
+    lines = lines.select(F.concat(F.lit("1/"), F.lpad(F.col("hop").cast("string"), 6, "0")).alias("place"), feature("LineString", F.array("from_at", "to_at"), F.struct("from", "to", "valid")).alias("value"))
+    return points.unionByName(lines)
 
 
 def write_route_csv(links: DataFrame, path: str) -> None:
-    route_csv(links).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    route_csv(links).coalesce(1).sortWithinPartitions("hop").select("value").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def cell_features(cells: DataFrame, half: float) -> DataFrame:
