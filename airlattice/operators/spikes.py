@@ -31,11 +31,11 @@ TEST_SPREADS = 3.0
 SHIFT_SHARE, SHIFT_LEAST = 0.08, 8
 #: A source's levels share its noise: no spread is taken for less than this part of the widest.
 SHARED_NOISE = 0.6
+SHIFT_PHI = 0.3  #: residuals that stand still about a level are unrelated; a shift under one level shows as this coefficient or more
 SHIFT_SPREADS = 1.5  #: a cut in time that parts a level's means by so many spreads is a shift
 #: Spreads are measured on readings within CUT spreads; a normal distribution cut there keeps this part of its deviation.
 CUT, CUT_KEEPS = 2.0, 0.8796
 QUANTITIES = {"rssi": (1.0, -150.0, 0.0), "snr": (0.25, -40.0, 40.0)}  #: step of the readings, physical limits
-LEVEL = "quantity string, center double, spread double, phi double, n bigint"
 
 
 def impossible(quantity: str, v: np.ndarray) -> np.ndarray:
@@ -157,6 +157,8 @@ def _shifted(v: np.ndarray, levels: list[list[float]], need: float) -> list[list
             total = np.cumsum(w)
             gain = (total[:-1] - k / len(r) * total[-1]) ** 2 / (k * (len(r) - k) / len(r))
             gain[(k < need) | (len(r) - k < need)] = -1
+            if autoregression(r, np.full(len(r), c), np.full(len(r), s)) < SHIFT_PHI:
+                gain[:] = -1  # neighbours are unrelated: whatever parts them is no shift in time
             at = int(k[gain.argmax()])
             one, two = _trimmed(r[:at], floor), _trimmed(r[at:], floor)
             if gain.max() > 0 and abs(one[0] - two[0]) > SHIFT_SPREADS * max(one[1], two[1]):
