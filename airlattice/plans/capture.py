@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from airlattice.operators import flatten, orphans, proximity, snapdiff, spikes, timestamps
+from airlattice.plans import capture_sql
 
 QUERIES = {
     "p1_found": proximity.found,
@@ -46,4 +47,8 @@ ORACLE = {
       FROM a FULL JOIN b ON a.run_id = b.run_id AND a.pubkey = b.pubkey
       WHERE a.pubkey IS NULL OR b.pubkey IS NULL OR (a.lat IS NULL) <> (b.lat IS NULL) OR (a.lon IS NULL) <> (b.lon IS NULL)
         OR abs(a.lat - b.lat) > 0.00002 OR abs(a.lon - b.lon) > 0.00002""",
+    "p2_found": capture_sql.P2,
+    "p5_found": capture_sql.P5,
+    "p6_found": capture_sql.P6,
+    "p6_report": capture_sql.P6_REPORT,
 }
