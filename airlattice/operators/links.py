@@ -74,9 +74,12 @@ def _budget(radio: rf.Radio, tx: str, rx: str, loss: Column, depart: Column, pat
     return F.struct(depart.alias("departure_deg"), got.alias("received_dbm"), usable.alias("margin_db"), (usable >= 0).alias("valid"))
 
 
-def evaluate(links: DataFrame, tiles: DataFrame, radio: rf.Radio, res: float, *, ends: tuple[str, str] = ("router", "client"), pattern: Column | None = None) -> DataFrame:
+def evaluate(links: DataFrame, tiles: DataFrame, radio: rf.Radio, res: float, *, ends: tuple[str, str] = ("router", "client"), pattern: Column | None = None, surface: DataFrame | None = None) -> DataFrame:
     """Links with their evaluation. links: link_id, ax, ay, ah, bx, by, bh (antenna heights above ground), other columns kept.
 
+    surface: tiles of a surface raster, which then is what obstructs; where it is missing the ground is. With a clutter
+    loss set, its greatest height over the ground costs that much a metre (A7).
+
     state: `profile cap`, `coincident`, `missing terrain` or null; the rest is null where state isn't.
     """
     keep = links.columns
@@ -95,9 +98,13 @@ def evaluate(links: DataFrame, tiles: DataFrame, radio: rf.Radio, res: float, *,
     ok = with_ground(with_ground(ok, tiles, "ax", "ay", "za", res), tiles, "bx", "by", "zb", res)
     ok = ok.withColumns({"ta": F.col("za") + F.col("ah"), "tb": F.col("zb") + F.col("bh")})
     s = with_ground(profile_samples(ok, radio, res), tiles, "px", "py", "z", res)
+    top = F.col("z")
+    if surface is not None:
+        s = with_ground(s, surface, "px", "py", "zs", res)
+        top = F.when(F.col("z").isNotNull(), F.coalesce("zs", "z"))
     x, length, ta, tb = F.col("di"), F.col("d"), F.col("ta"), F.col("tb")
     inner = (F.col("i") > 0) & (F.col("i") < F.col("n") - 1)
-    h = F.col("z") + rf.earth_bulge_m(x, length, radio.k_factor)
+    h = top + rf.earth_bulge_m(x, length, radio.k_factor)
     los = ta + x / length * (tb - ta)
     radius = F.sqrt(F.lit(radio.wavelength_m) * x * (length - x) / length)
     clear = los - h
@@ -109,6 +116,7 @@ def evaluate(links: DataFrame, tiles: DataFrame, radio: rf.Radio, res: float, *,
         F.count_if(F.col("z").isNull()).alias("missing"), F.min(at(clear)).alias("clearance_m"),
         F.min(at(F.struct(ratio.alias("r"), F.col("i"), x.alias("x")))).alias("worst"), F.max(radius).alias("fresnel_radius_m"),
         F.max(at((h - ta) / x)).alias("s_tx"), F.max(at((h - tb) / (length - x))).alias("s_rx"), F.max(at(edge)).alias("v_los"),
+        F.max(F.greatest(top - F.col("z"), F.lit(0.0))).alias("clutter_m"),
         F.first("ta").alias("ta"), F.first("tb").alias("tb"), F.first("d").alias("len"), F.first("n").alias("n_s"),
     )
     length, ta, tb = F.col("len"), F.col("ta"), F.col("tb")
@@ -121,6 +129,8 @@ def evaluate(links: DataFrame, tiles: DataFrame, radio: rf.Radio, res: float, *,
     m = m.withColumn("j", rf.knife_edge_db(v))
     m = m.withColumn("diffraction_db", rf.bullington_db(F.col("j"), length))
     loss = rf.fspl_db(length, radio.frequency_mhz) + F.col("diffraction_db")
+    if radio.clutter_db_per_m is not None:
+        loss = loss + F.col("clutter_m") * radio.clutter_db_per_m
     depart = rf.elevation_deg(length, ta, tb)
     m = m.withColumns({"forward": _budget(radio, *ends, loss, depart, pattern), "reverse": _budget(radio, *ends[::-1], loss, -depart, pattern)})
     m = m.withColumns({"fresnel_ratio": F.col("worst.r"), "ratio_at_m": F.col("worst.x"), "los_clear": F.col("clearance_m") >= 0, "fresnel_clear": F.col("worst.r") >= radio.fresnel_clearance})

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from airlattice.functions import rf
+from airlattice.operators.planner import canonical_json, scrub
 from airlattice.plans import coverage, radio
 from airlattice.plans.registry import Registry
 from airlattice.tables import load
@@ -290,6 +295,100 @@ def k5(spark, d):
     return sinks.route_csv(rows)
 
 
+@query("f20_slope", f"WITH {radio._LINKS}, p AS (SELECT DISTINCT job_id, source_id, ax, ay, ax + 150e0 AS xe, ax - 150e0 AS xw, ay + 150e0 AS yn, ay - 150e0 AS ys FROM n), g1 AS ({radio._ground('p', 'xe', 'ay', 'ze')}), g2 AS ({radio._ground('g1', 'xw', 'ay', 'zw')}), g3 AS ({radio._ground('g2', 'ax', 'yn', 'zn')}), g4 AS ({radio._ground('g3', 'ax', 'ys', 'zs')}) SELECT job_id, source_id, {radio._Q4.format('coalesce(sqrt((ze - zw) / 300e0 * ((ze - zw) / 300e0) + (zn - zs) / 300e0 * ((zn - zs) / 300e0)), 1e0)')} AS slope FROM g4")
+def f20(spark, d):
+    """Slope at each source by central differences; 1 where the ground about it is missing."""
+    rows = radio.cell_links(spark, d)
+    tiles = radio.cut(radio.links.tile_lattice(radio.lattice(spark, rows, 3)))
+    p = rows.select("job_id", "source_id", "ax", "ay").distinct()
+    p = p.withColumns({"xe": F.col("ax") + 150.0, "xw": F.col("ax") - 150.0, "yn": F.col("ay") + 150.0, "ys": F.col("ay") - 150.0})
+    for x, y, z in (("xe", "ay", "ze"), ("xw", "ay", "zw"), ("ax", "yn", "zn"), ("ax", "ys", "zs")):
+        p = radio.links.with_ground(p, tiles, x, y, z, radio.RES)
+    gx, gy = (F.col("ze") - F.col("zw")) / 300.0, (F.col("zn") - F.col("zs")) / 300.0
+    return p.select("job_id", "source_id", q4(F.coalesce(F.sqrt(gx * gx + gy * gy), F.lit(1.0))).alias("slope"))
+
+
+@query("c2_mesh_area", f"WITH {radio._LINKS}, s AS (SELECT DISTINCT job_id, source_id, ax, ay FROM n), c AS (SELECT DISTINCT ON (job_id, \"index\") job_id, \"index\" AS cell, x, y FROM coverage) SELECT c.job_id, c.cell, min(sqrt((x - ax) * (x - ax) + (y - ay) * (y - ay))) <= 1500 AS inside FROM c JOIN s USING (job_id) GROUP BY c.job_id, c.cell")
+def c2(spark, d):
+    """Whether a cell lies in the union of the buffers about its run's sources (at most 64): membership in any of them."""
+    s = radio.cell_links(spark, d).select("job_id", "source_id", "ax", "ay").distinct().groupBy("job_id").agg(F.collect_list(F.struct("ax", "ay")).alias("l"))
+    c = coverage.cells(spark, d).select("job_id", "cell", "x", "y").join(s, "job_id")
+    near = F.exists("l", lambda p: F.sqrt((F.col("x") - p["ax"]) * (F.col("x") - p["ax"]) + (F.col("y") - p["ay"]) * (F.col("y") - p["ay"])) <= 1500)
+    return c.select("job_id", "cell", near.alias("inside"))
+
+
+@query("pp8_bounds_union", _C + " SELECT endpoint, min(x - 250e0) AS west, min(y - 250e0) AS south, max(x + 250e0) AS east, max(y + 250e0) AS north FROM cells GROUP BY endpoint")
+def pp8(spark, d):
+    c = coverage.cells(spark, d)
+    return c.groupBy("endpoint").agg(F.min(F.col("x") - 250.0).alias("west"), F.min(F.col("y") - 250.0).alias("south"), F.max(F.col("x") + 250.0).alias("east"), F.max(F.col("y") + 250.0).alias("north"))
+
+
+@query("pp21_recent_routers", """SELECT DISTINCT run_id, lower(pubkey) AS pubkey FROM nodes_snapshot WHERE coalesce(raw_json ->> '$.role', raw_json ->> '$.stats.role') = 'repeater'
+  AND epoch_ms(CAST(captured_at AS TIMESTAMP)) - epoch_ms(CAST(raw_json ->> '$.last_heard' AS TIMESTAMP)) <= 604800000""")
+def pp21(spark, d):
+    """Routers heard in the week before they were captured."""
+    at = lambda p: F.get_json_object("raw_json", p)
+    n = load(spark, d, "nodes_snapshot").filter(F.coalesce(at("$.role"), at("$.stats.role")) == "repeater")
+    age = F.unix_millis(F.try_to_timestamp("captured_at")) - F.unix_millis(F.try_to_timestamp(at("$.last_heard")))
+    return n.filter(age <= 604_800_000).select("run_id", F.lower("pubkey").alias("pubkey")).distinct()
+
+
+@query("pp18_scrubbed_snapshots")
+def pp18(spark, d):
+    """Snapshot objects without content keys, scrubbed in Arrow batches."""
+    def one(t):
+        try:
+            return canonical_json(scrub(json.loads(t)))
+        except (TypeError, ValueError):
+            return None
+
+    @pandas_udf("string")
+    def scrubbed(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return load(spark, d, "nodes_snapshot").select("run_id", F.lower("pubkey").alias("pubkey"), scrubbed("raw_json").alias("raw_json")).distinct()
+
+
+@query("a17_thin_profiles")
+def a17(spark, d):
+    """Profiles of the links with their extremes kept, at most 20 samples each."""
+    from airlattice.sources import sinks
+
+    s = radio.links.profile_samples(radio.with_length(spark, d).filter((F.col("n") <= 60) & (F.col("d") > 0)), radio.RADIO, radio.RES)
+    s = s.select("link_id", "i", "n", (F.pmod(F.floor("px") * 7 + F.floor("py") * 13, F.lit(200))).cast("double").alias("h"))
+    return sinks.thin_profile(s, 20)
+
+
+MOST_SITES = 5_000  #: a planner's graph is searched on the driver; a larger one is an error
+
+
+def source_graph(spark, d):
+    from airlattice.operators.graph import Graph
+
+    rows = coverage.shared_cell_edges(spark, d).limit(MOST_SITES * 64 + 1).collect()
+    g = Graph(sorted((r.a, r.b, r.w) for r in rows))
+    if len(rows) > MOST_SITES * 64 or len(g.near) > MOST_SITES:
+        raise ValueError("the graph is beyond a planner's bound")
+    return g, min(g.near, default=None), max((n for n in g.near if n[:5] == min(g.near)[:5]), default=None) if g.near else None
+
+
+def path_rows(spark, paths):
+    return spark.createDataFrame([(k, i, n) for k, p in enumerate(paths) for i, n in enumerate(p)], "path int, place int, id string")
+
+
+for _name, _find in {
+    "g3_hop_path": lambda g, s, t: [p] if (p := g.hop_path(s, t)) else [], "g4_reliability_path": lambda g, s, t: [p] if (p := g.reliability_path(s, t)) else [],
+    "g5_installation_path": lambda g, s, t: [p] if (p := g.installation_path(s, t)) else [], "g6_infrastructure_path": lambda g, s, t: [p] if (p := g.infrastructure_path(s, t, lambda a, b: 1.0)) else [],
+    "g7_disjoint_paths": lambda g, s, t: g.disjoint_paths(s, t), "g8_k_shortest": lambda g, s, t: g.k_shortest(s, t, 8),
+    "g11_bounded_margin": lambda g, s, t: g.bounded_margin_paths(s, t, 4), "g13_steiner": lambda g, s, t: [sorted(g.steiner([s, t]))],
+}.items():
+
+    @query(_name)
+    def _(spark, d, find=_find):
+        g, s, t = source_graph(spark, d)
+        return path_rows(spark, find(g, s, t) if s is not None and s != t else [])
+
+
 # "by" is a keyword to some parsers.
 for _name in list(ORACLE):
     ORACLE[_name] = radio.re.sub(r'(?<!")\bby\b(?!")', '"by"', ORACLE[_name])

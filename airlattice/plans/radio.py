@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from airlattice.functions import rf
 from airlattice.operators import links
 from airlattice.plans.registry import Registry
-from airlattice.tables import load
+from airlattice.tables import cut, load
 
 query = Registry()
 QUERIES, ORACLE = query.QUERIES, query.ORACLE
@@ -40,9 +40,9 @@ def cell_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lattice(spark: SparkSession, link_rows: DataFrame) -> DataFrame:
-    """Terrain nodes over the links' extent, a node every RES metres; some are missing."""
-    lo, hi = link_rows.agg(F.floor(F.min(F.least("ax", "ay", "bx", "by")) / RES) - 1, F.ceil(F.max(F.greatest("ax", "ay", "bx", "by")) / RES) + 1).first()
+def lattice(spark: SparkSession, link_rows: DataFrame, margin: int = 1) -> DataFrame:
+    """Terrain nodes over the links' extent, a node every RES metres, and margin nodes about it; some are missing."""
+    lo, hi = link_rows.agg(F.floor(F.min(F.least("ax", "ay", "bx", "by")) / RES) - margin, F.ceil(F.max(F.greatest("ax", "ay", "bx", "by")) / RES) + margin).first()
     lo, hi = (int(lo), int(hi)) if lo is not None else (0, 1)
     side = hi - lo + 1
     ix, iy = (F.col("id") % side + lo).cast("int"), (F.floor(F.col("id") / side) + lo).cast("int")

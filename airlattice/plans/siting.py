@@ -185,3 +185,23 @@ def j8(spark, d):
     area = geo.overlap_udf(coverage.POLYGON)
     c = coverage.cells(spark, d).withColumn("a", area(F.col("x") - 250.0, F.col("y") - 250.0, F.col("x") + 250.0, F.col("y") + 250.0))
     return c.filter("a > 0").groupBy("job_id", "state").agg(q3(F.sum("a")).alias("square_metres"), F.count("*").alias("n"))
+
+
+@query("pp2_corridor_latlon", mesh._CTE + f""", p AS (SELECT DISTINCT endpoint, pubkey, lat, lon FROM nodes WHERE {mesh._OK.format("lat", "lon")}), c AS (SELECT endpoint, min(lat) AS lat0, min(lon) AS lon0, max(lat) AS lat1, max(lon) AS lon1 FROM p GROUP BY endpoint),
+  k AS (SELECT *, greatest(cos(radians((lat0 + lat1) / 2)), 0.1e0) * 111320e0 AS sx FROM c), m AS (SELECT p.endpoint, pubkey, (lon - lon0) * sx AS x, (lat - lat0) * 111320e0 AS y, (lon1 - lon0) * sx AS dx, (lat1 - lat0) * 111320e0 AS dy FROM p JOIN k USING (endpoint)),
+  l AS (SELECT *, sqrt(dx * dx + dy * dy) AS len FROM m), t AS (SELECT *, greatest(0e0, least(1e0, (x * dx + y * dy) / (len * len))) AS t FROM l WHERE len > 0)
+  SELECT endpoint, pubkey, CAST(round_even(sqrt((x - t * dx) * (x - t * dx) + (y - t * dy) * (y - t * dy)) / 1000, 0) AS BIGINT) AS km FROM t
+  WHERE (x * dx + y * dy) / len BETWEEN -15000 AND len + 15000 AND abs((x * dy - y * dx) / len) <= 15000""")
+def pp2(spark, d):
+    """Nodes in a band between the corners of their endpoint, in the local metric of its mean latitude, with their
+    distance in whole kilometres, halves to even."""
+    n = mesh.nodes(spark, d).filter(mesh.valid_location("lat", "lon")).select("endpoint", "pubkey", "lat", "lon").distinct()
+    c = n.groupBy("endpoint").agg(F.min("lat").alias("lat0"), F.min("lon").alias("lon0"), F.max("lat").alias("lat1"), F.max("lon").alias("lon1"))
+    sx = F.greatest(F.cos(F.radians((F.col("lat0") + F.col("lat1")) / 2)), F.lit(0.1)) * geo.DEGREE_M
+    m = n.join(c.withColumn("sx", sx), "endpoint").select(
+        "endpoint", "pubkey", ((F.col("lon") - F.col("lon0")) * F.col("sx")).alias("x"), ((F.col("lat") - F.col("lat0")) * geo.DEGREE_M).alias("y"),
+        ((F.col("lon1") - F.col("lon0")) * F.col("sx")).alias("dx"), ((F.col("lat1") - F.col("lat0")) * geo.DEGREE_M).alias("dy"),
+    ).filter("dx <> 0 or dy <> 0")
+    zero, end = (F.lit(0.0), F.lit(0.0)), (F.col("dx"), F.col("dy"))
+    km = F.rint(geo.segment_distance(F.col("x"), F.col("y"), zero, end) / 1000).cast("bigint")
+    return m.filter(geo.inside_corridor(F.col("x"), F.col("y"), zero, end, 15000.0)).select("endpoint", "pubkey", km.alias("km"))

@@ -61,3 +61,13 @@ def test_ridge_and_flat(spark, small_tiles):
     missing = run(spark, F.when(F.col("ix") != 10, 0.0))
     assert missing.state == "missing terrain" and missing.two_way_db is None
     assert run(spark, F.lit(0.0), max_samples=5).state == "profile cap"
+
+
+def test_surface_and_clutter(spark, small_tiles):
+    """A surface of 10 m on flat ground obstructs, and costs its height; where it is missing the ground counts."""
+    rows = [("l", 200.0, 1000.0, 100.0, 1800.0, 1000.0, 1.5)]
+    df = spark.createDataFrame(rows, "link_id string, ax double, ay double, ah double, bx double, by double, bh double")
+    surface = terrain(spark, F.when(F.col("ix") == 10, 10.0).when(F.col("ix") != 4, 0.0))
+    radio = rf.Radio(strict=True, sample_step_m=100.0, client_tx_power_dbm=22.0, clutter_db_per_m=0.5)
+    got = links.evaluate(df, terrain(spark, F.lit(0.0)), radio, 100.0, surface=surface).first()
+    assert got.two_way_db == pytest.approx(48.99220862010688 - 5.0, abs=1e-9) and got.state is None
