@@ -135,14 +135,18 @@ def covered(doc: np.ndarray, item: np.ndarray) -> int:
         alone = n if n >= least else 0
         score, tied = alone, alone
         for q, j, words, kept in best:
-            if q <= p and j <= i:
-                gap = i - j
-                if gap <= MAX_SLIP and abs((p - q) - gap) <= 1:
-                    score = max(score, words + gap + n)
-                    if n >= least or words > 0:
-                        tied = max(tied, words + gap + n)
-                if kept + alone > 0:
-                    score, tied = max(score, kept + alone), max(tied, kept + alone)
+            o = max(0, j - i, q - p)  # a word that stands at the end of one stretch and the start of the next counts once
+            if o >= n:
+                continue
+            gap = i + o - j
+            if gap <= MAX_SLIP and abs((p + o - q) - gap) <= 1:
+                score = max(score, words + gap + n - o)
+                if n >= least or words > 0:
+                    tied = max(tied, words + gap + n - o)
+            if alone and kept > 0:
+                score, tied = max(score, kept + n - o), max(tied, kept + n - o)
+            elif kept > 0:
+                score, tied = max(score, kept), max(tied, kept)
         best.append((p + n, i + n, score, tied))
         top = max(top, tied)
     return top

@@ -167,6 +167,8 @@ def test_leaks(spark):
     add(items[1][30:48] + noise() + items[1][:18])  # not in the item's order
     add(noise() + spoil(items[1], 8) + noise(), 1)  # slips
     add([w for w in items[1] for w in (w, "zz")])  # no unbroken stretch
+    cut = items[1][:30] + [items[1][30]] + sentence(r, 4) + items[1][30:]  # a chance word carries the first stretch one further
+    add(noise() + cut + noise(), 1)
     add(noise() + items[2] + items[0] + noise(), 2, *both)
     add(noise() + items[3] + noise(), 3)
     add(noise() + items[4] + noise(), 4)  # an item shorter than a shingle
