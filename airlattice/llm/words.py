@@ -30,17 +30,24 @@ _ESCAPED = np.zeros(256, bool)
 _ESCAPED[list(b"nrtbf")] = True
 _MARK = np.zeros(256, bool)
 _MARK[list(b"/!abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+class _Powers:
+    """Powers of the hash's base and of its inverse, grown as needed; sent to other processes without its tables."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        up, down = np.full(size, _P), np.full(size, _P_INV)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers
+    def __reduce__(self):
+        return _Powers, ()
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            up, down = np.full(n, _P), np.full(n, _P_INV)
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        return self.up, self.down
+
+
+_power_tables = _Powers()
 
 
 def _between(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
