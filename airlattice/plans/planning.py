@@ -271,11 +271,13 @@ def w12(spark, d):
 @query("w8_segment_lookup", _C + """, p AS (SELECT job_id, cell, coalesce(sum(500e0) OVER (PARTITION BY job_id ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS along, count(*) OVER (PARTITION BY job_id) AS n FROM cells)
   SELECT job_id, k AS mark, CAST(max(cell) AS BIGINT) AS cell FROM p, (SELECT unnest(range(5)) AS k) m WHERE along <= k * 1200e0 GROUP BY ALL""")
 def w8(spark, d):
-    """The cell of a run's line that each mark, every 1.2 km, lies on: W7's running length, then the last start before."""
+    """The cell of a run's line that each mark, every 1.2 km from its start to its end, lies on: W7's running length, then
+    the last start before. A mark is looked up by the one cell whose start and the next one's enclose it."""
     w = Window.partitionBy("job_id").orderBy("cell")
-    p = coverage.cells(spark, d).withColumn("at", (F.row_number().over(w) - 1) * 500.0)
-    m = p.select("job_id", "cell", "at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("mark"))
-    return m.filter(F.col("at") <= F.col("mark") * 1200.0).groupBy("job_id", "mark").agg(F.max("cell").alias("cell"))
+    p = coverage.cells(spark, d).withColumn("at", (F.row_number().over(w) - 1) * 500.0).withColumn("next", F.lead("at").over(w))
+    mark = F.ceil(F.col("at") / 1200.0).cast("bigint")  # a cell is shorter than the spacing: one mark at most
+    m = p.select("job_id", mark.alias("mark"), F.col("cell").cast("bigint").alias("cell"), "at", "next")
+    return m.filter(F.coalesce(F.col("mark") * 1200.0 < F.col("next"), F.col("mark") * 1200.0 == F.col("at"))).select("job_id", "mark", "cell")
 
 
 @query("k5_route_table")
