@@ -286,10 +286,16 @@ def a23(spark, d):
 
 @query("k7_geojson_bounds", _CTE + " SELECT job_id, cell, greatest(x - 250e0, -2000e0) AS west, least(x + 250e0, 2000e0) AS east, greatest(y - 250e0, -2000e0) AS south, least(y + 250e0, 2000e0) AS north FROM cells WHERE x BETWEEN -2250 AND 2250 AND y BETWEEN -2250 AND 2250")
 def k7(spark, d):
-    """Footprints of cells, clipped to an area's bounds."""
-    c = cells(spark, d).filter("x between -2250 and 2250 and y between -2250 and 2250")
-    lo, hi = F.lit(-2000.0), F.lit(2000.0)
-    return c.select("job_id", "cell", F.greatest(F.col("x") - 250.0, lo).alias("west"), F.least(F.col("x") + 250.0, hi).alias("east"), F.greatest(F.col("y") - 250.0, lo).alias("south"), F.least(F.col("y") + 250.0, hi).alias("north"))
+    """Footprints of all cells, clipped to their run's own bounds. Half a cell is half the least step between the
+    run's columns or rows (250 m for a lone cell); the bounds lie half a cell beyond the outermost centres."""
+    c = cells(spark, d).select("job_id", "cell", "x", "y")
+    places = lambda v: F.array_sort(F.collect_set(v))
+    step = lambda l: F.array_min(F.zip_with(F.slice(l, 2, F.greatest(F.size(l) - 1, F.lit(0))), l, lambda b, a: b - a))  # noqa: E731, E741
+    own = c.groupBy("job_id").agg(places("x").alias("xs"), places("y").alias("ys"))
+    own = own.withColumn("h", F.coalesce(F.least(step("xs"), step("ys")) / 2, F.lit(250.0)))
+    own = own.select("job_id", "h", *((F.array_min(v) - F.col("h")).alias(n) for v, n in (("xs", "w"), ("ys", "s"))), *((F.array_max(v) + F.col("h")).alias(n) for v, n in (("xs", "e"), ("ys", "n"))))
+    c = c.join(own, "job_id")
+    return c.select("job_id", "cell", F.greatest(F.col("x") - F.col("h"), "w").alias("west"), F.least(F.col("x") + F.col("h"), "e").alias("east"), F.greatest(F.col("y") - F.col("h"), "s").alias("south"), F.least(F.col("y") + F.col("h"), "n").alias("north"))
 
 
 @query("f35_run_fingerprint", _CTE + " SELECT job_id, sha256('run' || chr(1) || job_id || chr(1) || min(endpoint) || chr(1) || count(*)) AS fingerprint FROM cells GROUP BY job_id")

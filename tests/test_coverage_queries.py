@@ -1,13 +1,15 @@
 """Coverage queries on small made-up runs, against plain Python; runs of different sizes and places."""
 
-from airlattice.plans import planning
+import pytest
+
+from airlattice.plans import coverage, planning
 
 CELL = "job_id string, endpoint string, `index` bigint, x double, y double, state string, best_margin_db double"
 
 
-def grids(spark, tmp_path, **jobs):
-    """coverage.parquet of square runs: job=(columns, west, north), cells of 500 m from the top row on; a repeated cell."""
-    rows = [(j, "ep", i, west + (i % n + 0.5) * 500, north - (i // n + 0.5) * 500, "covered", 1.0) for j, (n, west, north) in jobs.items() for i in range(n * n)]
+def grids(spark, tmp_path, size=500.0, **jobs):
+    """coverage.parquet of square runs: job=(columns, west, north), cells from the top row on; a repeated cell."""
+    rows = [(j, "ep", i, west + (i % n + 0.5) * size, north - (i // n + 0.5) * size, "covered", 1.0) for j, (n, west, north) in jobs.items() for i in range(n * n)]
     spark.createDataFrame(rows + rows[:1], CELL).write.parquet(str(tmp_path / "coverage.parquet"))
     return str(tmp_path), rows
 
@@ -19,3 +21,12 @@ def test_marks_of_a_whole_line(spark, tmp_path):
     got = [tuple(r) for r in planning.QUERIES["w8_segment_lookup"](spark, d).collect()]
     assert len(got) == len(want) and set(got) == want
     assert max(k for j, k, _ in got if j == "five") == 10 and max(k for j, k, _ in got if j == "ten") == 41
+
+
+@pytest.mark.parametrize("size", [500.0, 400.0])
+def test_footprints_of_all_cells(spark, tmp_path, size):
+    """No cell of a large run, or of one away from the origin, is lost or cut: the grid's bounds and steps are its own."""
+    d, cells = grids(spark, tmp_path, size, far=(2, 40_000.0, 9_000.0), large=(20, -5000.0, 5000.0), small=(4, -1000.0, 1000.0))
+    got = [tuple(r) for r in coverage.QUERIES["k7_geojson_bounds"](spark, d).collect()]
+    want = {(j, i, x - size / 2, x + size / 2, y - size / 2, y + size / 2) for j, _, i, x, y, *_ in cells}
+    assert len(got) == len(want) == 420 and set(got) == want
