@@ -99,6 +99,15 @@ class Graph:
         """A10: least margin of a path's edges."""
         return min((self.near[a][b] for a, b in zip(path, path[1:])), default=float("inf"))
 
+    def reached(self, source: str) -> set[str]:
+        """The nodes of a source's part, itself among them."""
+        seen, queue = {source}, [source]
+        for a in queue:
+            fresh = self.near.get(a, {}).keys() - seen
+            seen |= fresh
+            queue += fresh
+        return seen
+
     def is_clear(self, path: list[str]) -> bool:
         return all(self.clear[a, b] for a, b in zip(path, path[1:]))
 

@@ -2,12 +2,15 @@
 
 Screening pairs each site with its nearest neighbours and every terminal with all sites, keeps those whose optimistic margin
 allows a link, evaluates them coarsely, and those that fail once more at the final step. The solver's routes are certified
-at the final step until a round changes nothing. A search that is stopped keeps its last certified result.
+at the final step until one holds throughout. Where the ends are not joined, the pairs left out so far are screened and
+evaluated too, batch by batch, until they are joined or no pair leads out of one end's part. A search that is stopped ends
+without a route.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -19,6 +22,7 @@ from airlattice.functions import rf
 from airlattice.operators import links
 from airlattice.operators.graph import Graph
 
+BRIDGE_BATCH = 2_000  #: pairs of one job where the ends are not joined; there are as many jobs as it takes
 # Keys that carry the content of packets.
 CONTENT_KEYS = ("raw_hex", "rawhex", "decoded_json", "decodedjson", "message", "messages", "channel_messages")
 
@@ -107,14 +111,18 @@ class RouteSearch:
         p, q = self.sites[a], self.sites[b]
         return ((p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2) ** 0.5
 
-    def screened(self, terminals: list[str], max_km: float = 50.0) -> set[tuple[str, str]]:
-        """Nearest neighbours and all pairs with a terminal, where free space allows a link."""
-        import math
-
+    def near_pairs(self, terminals: list[str]) -> set[tuple[str, str]]:
+        """Nearest neighbours and all pairs with a terminal."""
         pairs = set()
         for a in self.sites:
             near = sorted((self.distance(a, b), b) for b in self.sites if b != a)
             pairs |= {tuple(sorted((a, b))) for d, b in (near if a in terminals else near[: self.neighbours])}
+        return pairs
+
+    def screened(self, pairs: set[tuple[str, str]], max_km: float = 50.0) -> set[tuple[str, str]]:
+        """The pairs where free space allows a link."""
+        import math
+
         out = set()
         for a, b in pairs:
             d = self.distance(a, b)
@@ -154,22 +162,41 @@ class RouteSearch:
         e = [self.done[self.final, *sorted((a, b))] for a, b in zip(path, path[1:])]
         return Quality(sum(not x["los"] for x in e), sum(not x["clear"] for x in e), min(x["w"] for x in e))
 
-    def search(self, a: str, b: str, priority: str = "hops", max_rounds: int = 20) -> dict:
-        """The best certified route, and why there is none where there isn't."""
-        pairs = self.screened([a, b])
+    def probe(self, pairs: set[tuple[str, str]]) -> None:
+        """Evaluates the pairs coarsely, those that fail at the final step as well."""
         self.batch(pairs, self.coarse)
         self.batch({p for p in pairs if self.done[self.coarse, *p] is None}, self.final)
+
+    def bridges(self, g: Graph, a: str, b: str, tried: set[tuple[str, str]]) -> set[tuple[str, str]]:
+        """The next screened pairs, which are added to tried, that lead out of the smaller of the parts reached from
+        both ends: into the other part first, then to sites in neither; near ones first. Empty when none are left."""
+        here, there = sorted((g.reached(a), g.reached(b)), key=len)
+        while True:
+            left = ((y not in there, self.distance(x, y), p) for x in here for y in self.sites if y not in here and (p := tuple(sorted((x, y)))) not in tried)
+            fresh = {p for *_, p in heapq.nsmallest(BRIDGE_BATCH, left)}
+            tried |= fresh
+            if (found := self.screened(fresh)) or not fresh:
+                return found
+
+    def search(self, a: str, b: str, priority: str = "hops") -> dict:
+        """The best certified route, and why there is none where there isn't."""
+        tried = self.near_pairs([a, b])
+        pairs = self.screened(tried)
+        self.probe(pairs)
         find = {
             "hops": lambda g: g.hop_path(a, b), "reliability": lambda g: g.reliability_path(a, b), "installations": lambda g: g.installation_path(a, b),
             "infrastructure": lambda g: g.infrastructure_path(a, b, lambda x, y: self.distance(x, y) / 1000),
         }[priority]
-        for _ in range(max_rounds):
-            if self.stopped():
-                break
+        while not self.stopped():  # each round certifies or adds a pair, of which there are so many
             g = self.graph(pairs, (self.final, self.coarse))
             path = find(g)
             if path is None:
-                break
+                fresh = self.bridges(g, a, b, tried)
+                if not fresh:
+                    break
+                self.probe(fresh)
+                pairs |= fresh
+                continue
             wanted = {tuple(sorted(p)) for p in zip(path, path[1:])}
             if all((self.final, *p) in self.done for p in wanted):
                 q = self.quality(path)
