@@ -1,9 +1,9 @@
-"""Evaluation texts inside training texts: a prefix-filtered set join of word shingles, verified over item-sized windows.
+"""Evaluation texts inside training texts: a join of word shingles, verified over item-sized windows.
 
 One pass over the corpus keeps, of each document, the shingles it shares with any item and the words about them. From
-there on all is joins on small tables: shingles are ordered by how many documents hold them, an item's rarest shingles (all
-but as many as a match may miss) find its candidates, a candidate must share enough shingles within windows of the item's
-length, and its words are aligned with the item's.
+there on all is joins on small tables: a document that shares a shingle with an item and has words enough about its shared
+ones is a candidate, and its words are aligned with the item's. A case has at least one whole stretch and so one shingle;
+it need not have more, as stretches beside slips may be shorter than a shingle and an item may repeat its shingles.
 
 A case: at least half of an item's words stand in the document in the item's order, in unbroken stretches of at least
 MIN_STRETCH words; one to three words between two stretches that stand as close in the item are slips and count. Null and
@@ -29,18 +29,11 @@ HALF = 0.5
 MIN_STRETCH = 5  #: words in a row that count as a stretch by themselves
 NEAR_STRETCH = 2  #: words in a row that count beside a slip
 MAX_SLIP = 3
-#: A slip every so many words at worst: stretches that short still leave SLIP_EVERY - SHINGLE shingles each.
-SLIP_EVERY = 7
 #: Bound on the words of the items taken in one pass over the corpus; more items are taken in as many blocks, one pass each.
 BLOCK_WORDS = 2_000_000
 GAP = np.uint64(0)  #: stands between windows
 
 
-def least_shared(n_words: np.ndarray | int):
-    """Shingles that a match must share: half of the words, cut by a slip every SLIP_EVERY words."""
-    return np.maximum(1, np.ceil(HALF * np.asarray(n_words)).astype(np.int64) // SLIP_EVERY * (SLIP_EVERY - 1 - SHINGLE + 1))
-
-
 class Filter:
     """Membership in a set of hashes: a bit table before the sorted set."""
 
@@ -170,13 +163,8 @@ def _block(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
     item_words = {i: w for i, w in zip(ids, _item_words(texts), strict=True) if len(w)}
     if not item_words:
         return empty
-    rows = [
-        (int(i), s, len(w), int(least_shared(len(w))))
-        for i, w in item_words.items()
-        for s in np.unique(W.shingles(w, _shingle_size(len(w)))).view(np.int64).tolist()
-    ]
-    schema = "item_id bigint, shingle bigint, n_words int, least int"
-    item_shingles = spark.createDataFrame(pd.DataFrame(rows, columns=["item_id", "shingle", "n_words", "least"]), schema)
+    rows = [(int(i), s, len(w)) for i, w in item_words.items() for s in np.unique(W.shingles(w, _shingle_size(len(w)))).view(np.int64).tolist()]
+    item_shingles = spark.createDataFrame(pd.DataFrame(rows, columns=["item_id", "shingle", "n_words"]), "item_id bigint, shingle bigint, n_words int")
     by_size: dict[int, list[int]] = {}
     for w in item_words.values():
         by_size.setdefault(_shingle_size(len(w)), []).extend(W.shingles(w, _shingle_size(len(w))).tolist())
@@ -184,22 +172,10 @@ def _block(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
     span = max((len(w) for w in item_words.values()), default=1)
     near = cut(docs.mapInArrow(_windows(sorted(member), member, span), "doc_id bigint, shingles array<bigint>, words array<bigint>"))
 
-    hits = near.select("doc_id", F.explode("shingles").alias("shingle"))
-    frequency = hits.groupBy("shingle").agg(F.count("*").alias("df"))
-    by_item = Window.partitionBy("item_id")  # an item's own shingles only
-    ranked = item_shingles.join(frequency, "shingle", "left").select(
-        "*", F.row_number().over(by_item.orderBy(F.coalesce("df", F.lit(0)), "shingle")).alias("rank"), F.count("*").over(by_item).alias("m")
-    )
-    prefix = ranked.filter(F.col("rank") <= F.greatest(F.col("m") - F.col("least") + 1, F.lit(1))).select("item_id", "shingle", "least")
-    pairs = hits.join(prefix, "shingle").select("doc_id", "item_id", "least").distinct()
-    # Length bound: the document's windows must hold half of the item's words, and as many shared shingles as a match has.
-    shared = (
-        pairs.join(near.select("doc_id", "shingles", F.size("words").alias("n_near")), "doc_id")
-        .join(item_shingles.groupBy("item_id").agg(F.collect_list("shingle").alias("own"), F.first("n_words").alias("n_words")), "item_id")
-        .filter(F.col("n_near") >= F.col("n_words") * HALF)
-        .filter(F.size(F.array_intersect("shingles", "own")) >= F.col("least"))
-    )
-    found = shared.select("doc_id", "item_id").join(near.select("doc_id", "words"), "doc_id").select("item_id", "doc_id", "words")
+    pairs = near.select("doc_id", F.size("words").alias("n_near"), F.explode("shingles").alias("shingle")).join(item_shingles, "shingle")
+    # Length bound: a slip may stand for one word more than the document has there, beside stretches of NEAR_STRETCH or more.
+    pairs = pairs.filter(F.col("n_near") * (1 + 1 / NEAR_STRETCH) >= F.col("n_words") * HALF).select("doc_id", "item_id").distinct()
+    found = pairs.join(near.select("doc_id", "words"), "doc_id").select("item_id", "doc_id", "words")
     return found.mapInPandas(_verify(item_words), "item_id bigint, doc_id bigint, share double")
 
 

@@ -184,6 +184,22 @@ def test_leaks(spark):
     assert leakage.leaks(df.limit(0), it).collect() == [] and leakage.leaks(df, it.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("n", [66, 80, 107])
+def test_leaks_in_short_stretches(spark, n):
+    """Half of an item in stretches of five words, one shingle each; a whole item that repeats its shingles; slips beside
+    stretches shorter than a shingle. Two words less than half is none."""
+    r = random.Random(n)
+    item = [f"w{i}" for i in range(n)]
+    noise = lambda: sentence(r, 9)
+    short = [w for k in range(-(-n // 10)) for w in item[k * 6 : k * 6 + 5] + noise()]
+    less = [w for k in range((n - 3) // 10) for w in item[k * 6 : k * 6 + 5] + noise()]
+    slips = item[:5] + [w for k in range(5, n - 5, 5) for w in sentence(r, 3) + item[k + 3 : k + 5]]
+    again = [f"r{i % 5}" for i in range(n)]
+    df = spark.createDataFrame([(i, " ".join(noise() + t + noise())) for i, t in enumerate([short, less, slips, again])], "doc_id bigint, text string")
+    it = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(again))], "item_id bigint, item_text string")
+    assert sorted((x.item_id, x.doc_id) for x in leakage.leaks(df, it).collect()) == [(1, 0), (1, 2), (2, 3)]
+
+
 def test_items_in_blocks(spark, monkeypatch):
     r = random.Random(4)
     items = [(i, " ".join(sentence(r, 30))) for i in range(7)]
