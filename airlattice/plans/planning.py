@@ -94,7 +94,7 @@ def f13(spark, d):
 
 @query("f17_sample_points", f"WITH {radio._LINKS}, s AS (SELECT *, unnest(range(n)) AS i FROM n WHERE n <= 60 AND d > 0), t AS (SELECT *, CASE WHEN i = n - 1 THEN d ELSE i * (d / (n - 1)) END AS di FROM s) SELECT link_id, CAST(i AS INT) AS i, {radio._Q4.format('ax + di / d * (bx - ax)')} AS px, {radio._Q4.format('ay + di / d * (by - ay)')} AS py FROM t")
 def f17(spark, d):
-    s = radio.links.profile_samples(radio.with_length(spark, d).filter((F.col("n") <= 60) & (F.col("d") > 0)), radio.RADIO, radio.RES)
+    s = radio.links.profile_samples(radio.with_length(spark, d).filter((F.col("n") <= radio.RADIO.max_samples) & (F.col("d") > 0)), radio.RADIO, radio.RES)
     return s.select("link_id", "i", q4(F.col("px")).alias("px"), q4(F.col("py")).alias("py"))
 
 
@@ -356,7 +356,7 @@ def a17(spark, d):
     """Profiles of the links with their extremes kept, at most 20 samples each."""
     from airlattice.sources import sinks
 
-    s = radio.links.profile_samples(radio.with_length(spark, d).filter((F.col("n") <= 60) & (F.col("d") > 0)), radio.RADIO, radio.RES)
+    s = radio.links.profile_samples(radio.with_length(spark, d).filter((F.col("n") <= radio.RADIO.max_samples) & (F.col("d") > 0)), radio.RADIO, radio.RES)
     s = s.select("link_id", "i", "n", (F.pmod(F.floor("px") * 7 + F.floor("py") * 13, F.lit(200))).cast("double").alias("h"))
     return sinks.thin_profile(s, 20)
 

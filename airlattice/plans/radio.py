@@ -20,7 +20,8 @@ query = Registry()
 QUERIES, ORACLE = query.QUERIES, query.ORACLE
 
 RES = 100.0
-RADIO = rf.Radio(max_samples=60)
+RADIO = rf.Radio()
+GATE_SAMPLES = 60  #: the cap that l5 and f16 show, which leave no link out
 
 
 def q4(c):
@@ -151,7 +152,7 @@ def a3(spark, d):
 @query("l5_gate_before_sampling", f"WITH {_LINKS} SELECT CASE WHEN n > 60 THEN 'profile cap' WHEN d = 0 THEN 'coincident' ELSE 'sampled' END AS gate, count(*) AS links, CAST(sum(n) AS BIGINT) AS samples FROM n GROUP BY ALL")
 def l5(spark, d):
     e = with_length(spark, d)
-    gate = F.when(F.col("n") > RADIO.max_samples, "profile cap").when(F.col("d") == 0, "coincident").otherwise("sampled")
+    gate = F.when(F.col("n") > GATE_SAMPLES, "profile cap").when(F.col("d") == 0, "coincident").otherwise("sampled")
     return e.groupBy(gate.alias("gate")).agg(F.count("*").alias("links"), F.sum("n").cast("bigint").alias("samples"))
 
 
@@ -201,12 +202,12 @@ def f11(spark, d):
 
 @query("f16_profile_sampling", f"WITH {_LINKS} SELECT link_id, n AS n_samples, {_Q4.format('d / (n - 1)')} AS spacing_m, n <= 60 AS fits FROM n")
 def f16(spark, d):
-    return with_length(spark, d).select("link_id", F.col("n").alias("n_samples"), q4(F.col("d") / (F.col("n") - 1)).alias("spacing_m"), (F.col("n") <= 60).alias("fits"))
+    return with_length(spark, d).select("link_id", F.col("n").alias("n_samples"), q4(F.col("d") / (F.col("n") - 1)).alias("spacing_m"), (F.col("n") <= GATE_SAMPLES).alias("fits"))
 
 
 @query("j20_profile_explode", f"WITH {_LINKS}, s AS (SELECT link_id, d, n, unnest(range(n)) AS i FROM n WHERE n <= 60 AND d > 0) SELECT link_id, CAST(count(*) AS BIGINT) AS samples, {_Q4.format('max(CASE WHEN i = n - 1 THEN d ELSE i * (d / (n - 1)) END)')} AS last_m FROM s GROUP BY link_id")
 def j20(spark, d):
-    s = links.profile_samples(with_length(spark, d).filter((F.col("n") <= 60) & (F.col("d") > 0)), RADIO, RES)
+    s = links.profile_samples(with_length(spark, d).filter((F.col("n") <= RADIO.max_samples) & (F.col("d") > 0)), RADIO, RES)
     return s.groupBy("link_id").agg(F.count("*").alias("samples"), q4(F.max("di")).alias("last_m"))
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from airlattice.plans import coverage, planning
+from airlattice.plans import coverage, planning, radio
 
 CELL = "job_id string, endpoint string, `index` bigint, x double, y double, state string, best_margin_db double"
 
@@ -30,3 +30,15 @@ def test_footprints_of_all_cells(spark, tmp_path, size):
     got = [tuple(r) for r in coverage.QUERIES["k7_geojson_bounds"](spark, d).collect()]
     want = {(j, i, x - size / 2, x + size / 2, y - size / 2, y + size / 2) for j, _, i, x, y, *_ in cells}
     assert len(got) == len(want) == 420 and set(got) == want
+
+
+def test_long_links_are_evaluated(spark, tmp_path):
+    """A link of more than 60 samples is evaluated like others, and its profile is there in full."""
+    rows = [("j", "ep", 0, 100.0, 100.0, [("s00001",)]), ("j", "ep", 1, 60_000.0, 100.0, [("s00001",)])]
+    spark.createDataFrame(rows, "job_id string, endpoint string, `index` bigint, x double, y double, sources array<struct<source_id: string>>").write.parquet(str(tmp_path / "coverage.parquet"))
+    n = {r.link_id: r.n_samples for r in radio.QUERIES["f16_profile_sampling"](spark, str(tmp_path)).collect()}
+    assert max(n.values()) > 60 and len(n) == 2
+    assert "profile cap" not in {r.state for r in radio.evaluated(spark, str(tmp_path)).collect()}
+    assert {r.link_id: r.samples for r in radio.QUERIES["j20_profile_explode"](spark, str(tmp_path)).collect()} == n
+    for name in ("f17_sample_points", "a17_thin_profiles"):
+        assert {r.link_id for r in planning.QUERIES[name](spark, str(tmp_path)).select("link_id").collect()} == set(n)
