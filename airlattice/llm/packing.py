@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity: Martello-Toth dominance reduction on the sizes' histogram, then best fit.
 
 Items of one size are alike, so the packing is found on the number of items of each size, which is bounded by the capacity
-and not by the documents. Reduction: from the largest size down, a set of at most three items that provably dominates all
-other sets with that item is fixed for good, for as many items at once as there are; what is left is packed by best fit
+and not by the documents. Reduction: from the largest size down, a set of one or two items that provably dominates all other
+sets with that item (dominant sets of three are left to best fit) is fixed for good, for as many items at once as there are; what is left is packed by best fit
 decreasing, again in groups of like containers. Then every item takes the place of its rank among items of its size; ranks
 are counted by size and hash bucket, so that no task holds all items of a size.
 
@@ -140,8 +140,8 @@ def reduce(histogram: dict[int, int], capacity: int) -> tuple[Containers, dict[i
     """(containers fixed by dominance, items left). For each size w, largest first, with room r = capacity - w:
 
     nothing fits in r: w alone. An item k that fills r, or that fits while no two items do, or that is as large as any two
-    items that fit: w and the largest such k, since whatever else would stand with w can change places with k. Two equal
-    smallest items that fill r where no single item reaches further dominate as well.
+    items that fit: w and the largest such k, since whatever else would stand with w can change places with k. Sets of w and
+    two others are not fixed.
     """
     left, fixed = _Left(histogram, capacity), Containers(capacity)
     w = left.sizes[-1] if left.sizes else None
