@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from airlattice.operators.timestamps import observation_instants
 from airlattice.tables import cut, load, norm_id, topology_runs
 
-#: An orphan key's references may be a large part of all: both sides of the join back are spread over so many salts.
-SALTS = 16
+#: An orphan key's references may be a large part of all: a key of more than so many, or of more than this part of all where
+#: that is more, has as many salts as it takes. So the salted keys are HOT_KEYS at most, whatever the data.
+HOT_ROWS, HOT_KEYS = 100_000, 100_000
 
 
 def existence_deltas(present: DataFrame, last_slot: DataFrame) -> DataFrame:
@@ -90,8 +91,15 @@ def orphan_references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p6_found: ref_table, rec_key, utc_day, orphan_kind."""
     refs, orphans = orphan_references(spark, sf_dir)
-    salted = refs.withColumn("salt", F.pmod(F.xxhash64("packet_id", "observation_key"), F.lit(SALTS)).cast("int"))
-    spread = orphans.drop("references").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    key = ["table", "endpoint", "key", "slot"]
+    orphans = cut(orphans)
+    total = orphans.agg(F.sum("references")).first()[0] or 0
+    most = max(HOT_ROWS, -(-total // HOT_KEYS))
+    orphans = orphans.withColumn("salts", F.ceil(F.col("references") / most).cast("int")).drop("references")
+    hot = F.broadcast(orphans.filter("salts > 1").drop("orphan_kind"))  # HOT_KEYS rows at most
+    salt = F.pmod(F.xxhash64("packet_id", "observation_key"), F.coalesce("salts", F.lit(1))).cast("int")
+    salted = refs.join(hot, key, "left").withColumn("salt", salt).drop("salts")
+    spread = orphans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     return salted.join(spread, ["table", "endpoint", "key", "slot", "salt"]).select(
         F.col("table").alias("ref_table"),
         F.concat_ws("/", F.col("packet_id").cast("string"), F.col("observation_key")).alias("rec_key"),

@@ -9,6 +9,8 @@ QUERIES = {
     "p1_found": proximity.found,
     "p2_found": flatten.found,
     "p3_found": spikes.found,
+    "p3_impossible": spikes.impossible_found,
+    "p3_stuck": spikes.stuck_found,
     "p4_found": snapdiff.found,
     "p5_found": timestamps.found,
     "p6_found": orphans.found,
@@ -21,6 +23,11 @@ _RUNS = """
     FROM capture_runs r JOIN nodes_snapshot n ON n.run_id = r.id
     WHERE r.status = 'complete' AND r.mode IN ('watch-topology', 'snapshot', 'run') GROUP BY ALL)"""
 _ID = "CASE WHEN regexp_full_match({0}, '[0-9A-Fa-f]{{64}}') THEN lower({0}) WHEN {0} <> '' THEN {0} END"
+_READINGS = f"""WITH
+      o AS (SELECT DISTINCT endpoint, {_ID.format("observer_id")} AS source, packet_id, observation_key, rssi, snr FROM observations
+            WHERE endpoint IS NOT NULL AND observer_id <> '' AND packet_id IS NOT NULL),
+      r AS (SELECT endpoint, source, packet_id, observation_key, 'rssi' AS quantity, rssi AS v FROM o WHERE rssi IS NOT NULL
+            UNION ALL SELECT endpoint, source, packet_id, observation_key, 'snr', snr FROM o WHERE snr IS NOT NULL)"""
 _NEAR = (
     "2 * 6371.0088 * asin(least(1, sqrt(power(sin(radians(b.lat - a.lat) / 2), 2)"
     " + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) <= 0.2"
@@ -48,6 +55,13 @@ ORACLE = {
       WHERE a.pubkey IS NULL OR b.pubkey IS NULL OR (a.lat IS NULL) <> (b.lat IS NULL) OR (a.lon IS NULL) <> (b.lon IS NULL)
         OR abs(a.lat - b.lat) > 0.00002 OR abs(a.lon - b.lon) > 0.00002""",
     "p2_found": capture_sql.P2,
+    "p3_impossible": f"""{_READINGS} SELECT packet_id, observation_key, quantity, 'impossible' AS fault FROM r
+      WHERE isnan(v) OR CASE quantity WHEN 'rssi' THEN v < -150 OR v >= 0 ELSE abs(v) > 40 END""",
+    "p3_stuck": f"""{_READINGS},
+      m AS (SELECT *, CASE WHEN v = lag(v) OVER w THEN 0 ELSE 1 END AS moved FROM r WINDOW w AS (PARTITION BY endpoint, source, quantity ORDER BY packet_id, observation_key)),
+      i AS (SELECT *, sum(moved) OVER (PARTITION BY endpoint, source, quantity ORDER BY packet_id, observation_key) AS island FROM m),
+      n AS (SELECT *, count(*) OVER (PARTITION BY endpoint, source, quantity, island) AS same FROM i)
+      SELECT packet_id, observation_key, quantity, 'stuck' AS fault FROM n WHERE same >= 10""",
     "p5_found": capture_sql.P5,
     "p6_found": capture_sql.P6,
     "p6_report": capture_sql.P6_REPORT,

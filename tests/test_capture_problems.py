@@ -60,7 +60,7 @@ def test_clashing_columns_change_nothing(spark, tmp_path):
     tables = {
         "capture_runs": RUNS, "nodes_snapshot": [(1, T0, A, 60.0, 10.0, "{}"), (2, T1, A, 60.1, 10.0, "{}"), (2, T1, B, 60.1, 10.0, "{}")],
         "observers_snapshot": [(1, T0, A, None, None, "{}")], "coverage": [("j", "ep", 0, 60.1, 10.0, [{"source_id": "s"}])],
-        "observations": [("ep", 5, "k", B, "2026-10-02T05:00:00Z", T1, -300.0, 5.0)], "measured_hops": [("ep", 5, "k", C, B)],
+        "observations": [("ep", 5, "k", B, "2026-10-02T05:00:00Z", T1, -300.0, 5.0), *[("ep", 10 + i, "k", B, "2026-10-02T05:00:00Z", T1, -90.0, 5.0) for i in range(10)]], "measured_hops": [("ep", 5, "k", C, B)],
         "packets": [("ep", 9, A, '["aa"]', None, 2, None, None)], "request_log": [(1, "ep", 1_790_036_229, None)], "observer_clocks": [("ep", B, "Europe/Oslo", "dmy")],
     }
     (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
@@ -136,6 +136,45 @@ def test_spikes(spark, levels, shift):
         assert {p for p, f in got if f == "impossible"} == {20, 30, 40}
 
 
+def autoregressive(phi, seed, n=4000, step=2.0):
+    g = np.random.default_rng(seed)
+    e, x = g.normal(0, step, n), np.zeros(n)
+    for t in range(1, n):
+        x[t] = phi * x[t - 1] + e[t]
+    at = g.choice(np.arange(5, n - 5), 50, replace=False)
+    x[at] += 10 * step * g.choice([-1, 1], 50)
+    return np.clip(np.rint(x - 90), -149, -1), at
+
+
+@pytest.mark.parametrize("phi", [0.0, 0.6, 0.95])
+def test_spikes_leap_out_of_the_autoregression(spark, phi):
+    """Spikes of ten innovation spreads, which at 0.95 lie within the series' own swing about its level."""
+    v, at = autoregressive(phi, 1)
+    df = spark.createDataFrame([("e", "s", i, "k", float(x), None) for i, x in enumerate(v)], "endpoint string, source string, packet_id bigint, observation_key string, rssi double, snr double")
+    for block in (20_000, 1500):
+        got = {r.packet_id for r in spikes.faults(df, block).filter("fault = 'spike'").collect()}
+        assert got >= set(at.tolist()) and len(got) <= 51
+    if phi > 0.9:  # the marginal alone sees next to none of them
+        assert spikes.outliers(v, np.array([-90.0]), np.array([6.5]), 0.0).sum() < 10
+
+
+def test_spikes_of_few_readings(spark):
+    """Three readings tell a level that two of them share; two readings tell none."""
+    rows_ = [("e", "many", i, "k", -90.0 + i % 5, None) for i in range(200)] + [("e", "three", i, "k", v, None) for i, v in enumerate([-90.0, -91.0, -20.0])]
+    rows_ += [("e", "two", i, "k", v, None) for i, v in enumerate([-90.0, -20.0])]
+    df = spark.createDataFrame([(e, s, p + 1000 * len(s), k, v, w) for e, s, p, k, v, w in rows_], "endpoint string, source string, packet_id bigint, observation_key string, rssi double, snr double")
+    assert rows(spikes.faults(df)) == [(5002, "k", "rssi", "spike")]
+
+
+def test_blocks_are_even_by_rank(spark):
+    """A burst and a stray packet id leave no block larger than asked; repeated rows over task edges are one."""
+    ids = [*range(3000), 10**15]
+    df = spark.createDataFrame([("e", "s", i, "k", float(i % 7), None) for i in ids] * 3 + [("e", "t", 5, "k", 1.0, None)], "endpoint string, source string, packet_id bigint, observation_key string, rssi double, snr double")
+    got = spikes.blocks(df.repartition(6), 100).groupBy("source", "blk").agg(F.count("*").alias("n"), F.min("packet_id").alias("lo"), F.max("packet_id").alias("hi")).orderBy("source", "lo").collect()
+    assert sum(r.n for r in got) == 3002 and max(r.n for r in got) <= 100 and min(r.n for r in got if r.source == "s") >= 90
+    assert [r.blk for r in got if r.source == "s"] == list(range(31)) and all(a.hi < b.lo for a, b in zip(got, got[1:]) if a.source == b.source)
+
+
 def test_stuck_over_block_edges(spark):
     """Runs that begin and end in other blocks, or fill several, are one; null readings are skipped."""
     v = [float(-80 - i % 3) for i in range(100)]
