@@ -1,10 +1,11 @@
 """Filling containers of fixed capacity: Martello-Toth dominance reduction on the sizes' histogram, then best fit.
 
 Items of one size are alike, so the packing is found on the number of items of each size, which is bounded by the capacity
-and not by the documents. Reduction: from the largest size down, a set of one or two items that provably dominates all other
-sets with that item (dominant sets of three are left to best fit) is fixed for good, for as many items at once as there are; what is left is packed by best fit
-decreasing, again in groups of like containers. Then every item takes the place of its rank among items of its size; ranks
-are counted by size and hash bucket, so that no task holds all items of a size.
+and not by the documents. Reduction: from the largest size down, a set of one, two or three items that provably dominates all
+other sets with its largest item is fixed for good, for as many items at once as there are, until no size can be reduced; what
+is left is packed by best fit, item by item in decreasing order and container by container, whichever takes fewer containers,
+again in groups of like containers. Then every item takes the place of its rank among items of its size; ranks are counted by
+size and hash bucket, so that no task holds all items of a size.
 
 A document beyond the capacity is cut into full containers and a rest, which is an item; no other is cut. Documents
 without tokens, and null texts, take no room: they are placed in container 0. Repeated documents (same id and text) are
@@ -14,6 +15,7 @@ packed once; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import bisect
 import os
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -41,25 +43,24 @@ def tokenizer_path() -> str:
 
 
 def load_tokenizer(path: str):
+    with open(path, "rb") as f:
+        return tokenizer_of(f.read())
+
+
+def tokenizer_of(vocabulary: bytes):
     import tiktoken
 
     # Fixed value: the pattern by which this public vocabulary parts text before merging.
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f)}
+    ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in vocabulary.splitlines())}
     return tiktoken.Encoding("sizes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _sizes(vocabulary: bytes, name: str):
+def _sizes(vocabulary: bytes):
     """Batches of (doc, text) to (doc, tokens). The vocabulary goes along: executors need not have the file."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        import tempfile
-
-        with tempfile.NamedTemporaryFile(suffix=name) as f:
-            f.write(vocabulary)
-            f.flush()
-            encode = load_tokenizer(f.name).encode_ordinary
+        encode = tokenizer_of(vocabulary).encode_ordinary
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(encode(t)) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "tokens"])
 
@@ -99,99 +100,107 @@ class _Left:
         self.sizes = np.flatnonzero(self.n).tolist()
 
     def take(self, size: int, k: int) -> None:
+        if not k:
+            return
+        if not self.n[size]:  # items are put back where k is negative
+            bisect.insort(self.sizes, size)
         self.n[size] -= k
         if not self.n[size]:
-            self.sizes.pop(self._at(size))
-
-    def _at(self, size: int) -> int:
-        import bisect
-
-        return bisect.bisect_left(self.sizes, size)
+            self.sizes.pop(bisect.bisect_left(self.sizes, size))
 
     def at_most(self, size: int) -> int | None:
         """The largest size left that is not above `size`."""
-        import bisect
-
         i = bisect.bisect_right(self.sizes, size)
         return self.sizes[i - 1] if i else None
 
+    def smallest(self, k: int, above: int = 0) -> list[int]:
+        """The k smallest items left that are larger than `above`; fewer if there are no more."""
+        out: list[int] = []
+        for i in range(bisect.bisect_right(self.sizes, above), len(self.sizes)):
+            out += [self.sizes[i]] * min(k - len(out), int(self.n[self.sizes[i]]))
+            if len(out) == k:
+                break
+        return out
+
+    def fits(self, k: int, room: int, above: int = 0) -> bool:
+        """Whether any k items larger than `above` fit the room together."""
+        least = self.smallest(k, above)
+        return len(least) == k and sum(least) <= room
+
 
 def best_pair(left: _Left, room: int) -> int:
     """The largest sum, within room, of two items left; 0 if none fit."""
-    sizes, i, j, best = left.sizes, 0, 0, 0
-    import bisect
-
+    sizes, i, best = left.sizes, 0, 0
     j = bisect.bisect_right(sizes, room) - 1
     while i <= j:
-        if i == j and left.n[sizes[i]] < 2:
-            break
         total = sizes[i] + sizes[j]
-        if total <= room:
+        if total <= room and (i < j or left.n[sizes[i]] > 1):
             best = max(best, total)
-            if best == room:
-                break
+        if best == room:
+            break
+        if total <= room:
             i += 1
         else:
             j -= 1
     return best
 
 
-def reduce(histogram: dict[int, int], capacity: int) -> tuple[Containers, dict[int, int]]:
-    """(containers fixed by dominance, items left). For each size w, largest first, with room r = capacity - w:
+def dominant(left: _Left, w: int, room: int) -> tuple[int, ...] | None:
+    """The items that a container of w, with so much room, takes in some best packing of all; None where that isn't certain.
+    The items left don't count w itself.
 
-    nothing fits in r: w alone. An item k that fills r, or that fits while no two items do, or that is as large as any two
-    items that fit: w and the largest such k, since whatever else would stand with w can change places with k. Sets of w and
-    two others are not fixed.
+    Let k be the largest item that fits. A container of w and others can be changed into one of the set named without need of
+    another container, since each other item takes the place of one of the set that is as large:
+    nothing fits: w alone. k fills the room, or no two items fit together: w and k; the others, together no more than k, go
+    where k was. Two items fit, but no three do: w and k if no two that fit are more than k together; else w, k and b, the
+    largest item that fits beside k, if no two items larger than b fit together: of any two that do, one is then no more than
+    b and the other no more than k.
     """
+    k = left.at_most(room)
+    if k is None:
+        return (w,)
+    if k == room or not left.fits(2, room):
+        return (w, k)
+    if left.fits(3, room):
+        return None
+    if best_pair(left, room) <= k:
+        return (w, k)
+    left.take(k, 1)
+    b = left.at_most(room - k)
+    left.take(k, -1)
+    if b is not None and not left.fits(2, room, above=b):
+        return (w, k, b)
+    return None
+
+
+def reduce(histogram: dict[int, int], capacity: int) -> tuple[Containers, dict[int, int]]:
+    """(containers fixed by dominance, items left): each size from the largest down, again while any set is fixed. What makes
+    a set dominant holds on as items are taken away, so it is fixed as often as its items are there."""
     left, fixed = _Left(histogram, capacity), Containers(capacity)
-    w = left.sizes[-1] if left.sizes else None
-    while w is not None:
-        n, room = int(left.n[w]), capacity - w
-        left.take(w, 1)  # so that the item itself is no partner
-        k = left.at_most(room)
-        pair = best_pair(left, room) if k is not None and k < room else 0
-        if k is None:
-            left_now = int(left.n[w])
-            if left_now:
-                left.take(w, left_now)
-            fixed.add(_content(w), n)
-        elif k == room or pair <= k:
-            others = int(left.n[k])
-            if k == w:
-                m = (others + 1) // 2
-                if m and 2 * m - 1 > 0:
-                    left.take(w, 2 * m - 1)
-                fixed.add(_content(w, w), m)
-            elif k == room:
-                m = min(n, others)
-                if m > 1:
-                    left.take(w, m - 1)
-                left.take(k, m)
-                fixed.add(_content(w, k), m)
-            else:
-                # The same k stays the largest that fits, and pairs only get smaller, while items of k are left.
-                m = min(n, others)
-                if m > 1:
-                    left.take(w, m - 1)
-                left.take(k, m)
-                fixed.add(_content(w, k), m)
-        else:
-            left.n[w] += 1  # not reducible now: the item goes back
-            if left.n[w] == 1:
-                import bisect
-
-                bisect.insort(left.sizes, w)
-        below = left.at_most(w)
-        # A size that was reduced may be reducible again; one that wasn't is left for best fit.
-        w = below if below is not None and (below < w or k is None or k == room or pair <= k) else left.at_most(w - 1)
+    again = True
+    while again:
+        again = False
+        w = left.sizes[-1] if left.sizes else None
+        while w is not None:
+            left.take(w, 1)
+            content = dominant(left, w, capacity - w)
+            left.take(w, -1)
+            if content is None:
+                w = left.at_most(w - 1)
+                continue
+            each = _content(*content)
+            times = min(int(left.n[s]) // k for s, k in each.items())
+            for s, k in each.items():
+                left.take(s, k * times)
+            fixed.add(each, times)
+            again = True
+            w = left.at_most(w)
     return fixed, {s: int(left.n[s]) for s in left.sizes}
 
 
 def best_fit(histogram: dict[int, int], capacity: int, into: Containers) -> None:
     """Best fit decreasing of all items, in bulk: each size goes to the fullest containers that can take it, as many
     items to each as fit, before new ones are begun."""
-    import bisect
-
     rooms: list[int] = []  # the rooms that open containers have, sorted
     open_: dict[int, list[tuple[dict[int, int], int]]] = {}
 
@@ -231,10 +240,44 @@ def best_fit(histogram: dict[int, int], capacity: int, into: Containers) -> None
             into.add(content, times)
 
 
+def best_fit_by_container(histogram: dict[int, int], capacity: int, into: Containers) -> None:
+    """Best fit of one container after another: its largest item, then again and again the like items that leave the least
+    room together, larger ones on ties; as often in a row as there are items for it."""
+    n = np.zeros(capacity + 1, np.int64)
+    for s, k in histogram.items():
+        n[s] = k
+    top = capacity
+    while True:
+        while top and not n[top]:
+            top -= 1
+        if not top:
+            return
+        content, room = {top: 1}, capacity - top
+        n[top] -= 1
+        while room:
+            sizes = np.flatnonzero(n[: room + 1])
+            if not len(sizes):
+                break
+            each = np.minimum(n[sizes], room // sizes)
+            rest = room - each * sizes
+            i = len(sizes) - 1 - int(rest[::-1].argmin())
+            s, k = int(sizes[i]), int(each[i])
+            content[s] = content.get(s, 0) + k
+            n[s] -= k
+            room = int(rest[i])
+        times = 1 + min(int(n[s]) // k for s, k in content.items())
+        for s, k in content.items():
+            n[s] -= k * (times - 1)
+        into.add(content, times)
+
+
 def pack_histogram(histogram: dict[int, int], capacity: int) -> Containers:
     """Containers for the given number of items of each size, 1 to capacity."""
     packed, rest = reduce({s: n for s, n in histogram.items() if n}, capacity)
-    best_fit(rest, capacity, packed)
+    ways = [Containers(capacity), Containers(capacity)]
+    best_fit(rest, capacity, ways[0])
+    best_fit_by_container(rest, capacity, ways[1])
+    packed.groups += min(ways, key=lambda c: c.count).groups
     return packed
 
 
@@ -273,7 +316,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     with open(path, "rb") as f:
         vocabulary = f.read()
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")
-    sized = docs.mapInArrow(_sizes(vocabulary, os.path.basename(path)), "doc_id bigint, tokens bigint")
+    sized = docs.mapInArrow(_sizes(vocabulary), "doc_id bigint, tokens bigint")
     sized = cut(sized.groupBy("doc_id").agg(F.max("tokens").alias("tokens")))
 
     whole = F.expr(f"tokens div {capacity}")
@@ -319,6 +362,20 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def conserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document, whether its pieces are all there once, in a row from its start, and only its last is no full
+    container; and whether any of its containers holds more than the capacity."""
+    got = cut(containers(spark, sf_dir))
+    used = got.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))  # a container's rows are at most its tokens
+    over = used.filter(F.col("used") > CAPACITY).select("container_id", F.lit(True).alias("over"))
+    per = got.join(over, "container_id", "left").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.countDistinct("piece").alias("pieces"), F.min("token_start").alias("first"), F.max("token_start").alias("last"),
+        F.count_if(F.col("n_tokens") == CAPACITY).alias("full"), F.bool_or(F.coalesce("over", F.lit(False))).alias("over"),
+    )
+    whole = (F.col("n") == F.col("pieces")) & (F.col("first") == 0) & (F.col("last") == (F.col("n") - 1) * CAPACITY) & (F.col("full") >= F.col("n") - 1)
+    return per.select("doc_id", whole.alias("whole"), (~F.col("over")).alias("within"))
+
+
 def fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers are: their number by tenths of the capacity that stay empty."""
     per = containers(spark, sf_dir).groupBy("container_id").agg(F.sum("n_tokens").alias("used"))

@@ -1,5 +1,6 @@
 """Packing, leakage and subjects on small tables: defined edge cases, brute force, exact round trips, held-out labels."""
 
+import itertools
 import random
 import re
 
@@ -99,6 +100,24 @@ def test_reduction_keeps_the_optimum():
     assert over <= 6
 
 
+def test_reduction_of_every_small_instance():
+    """All instances of up to six items at capacity 9; sets of one, two and three items are fixed among them."""
+    kinds = set()
+    for n in range(1, 7):
+        for items in itertools.combinations_with_replacement(range(1, 10), n):
+            fixed, rest = packing.reduce(histogram(items), 9)
+            left = [s for s, k in rest.items() for _ in range(k)]
+            assert fixed.count + (optimal(left, 9) if left else 0) == optimal(items, 9), items
+            kinds |= {sum(content.values()) for content, _, _ in fixed.groups}
+    assert kinds == {1, 2, 3}
+
+
+def test_pairs_are_not_fixed_where_three_items_fit():
+    """Two of 70 side by side leave three of 33 without the place they fill better."""
+    assert packing.reduce({70: 2, 33: 6}, 170)[0].count == 0
+    assert packing.pack_histogram({70: 2, 33: 6}, 170).count == 2
+
+
 def test_large_histogram_is_nearly_full():
     g = np.random.default_rng(0)
     sizes = np.clip(g.lognormal(7, 1, 200_000).astype(int), 1, 8192)
