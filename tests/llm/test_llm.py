@@ -267,12 +267,38 @@ def test_subjects_held_out(spark):
     assert subjects.subjects_of(df, lab, sub.limit(0)).collect() == []
 
 
-def test_mixture_and_labels():
-    lex = subjects.Lexicon(np.arange(6), np.array([0, 0, 0, 1, 1, 1]), 2)
+def test_subjects_come_through_the_tree(spark, monkeypatch):
+    """Without bisection no document gets a subject: the labels only name leaves. With it, leaves keep to one subject each."""
+    r = random.Random(4)
+    docs = [(i, notebook(r, list(AREAS)[i % 3])) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, list(AREAS)[i % 3]) for i in range(30)], "doc_id bigint, subject string")
+    sub = spark.createDataFrame([(s, "") for s in AREAS], "subject string, about string")
+    got = {(x.doc_id, x.subject) for x in subjects.subjects_of(df, lab, sub).collect()}
+    assert got == {(i, list(AREAS)[i % 3]) for i in range(300)}
+    monkeypatch.setattr(subjects, "MAX_DEPTH", 0)
+    assert subjects.subjects_of(df, lab, sub).collect() == []
+
+
+def test_bisection_of_unit_vectors(spark):
+    """Two kinds of documents without a label; sums over leaves are those of plain arithmetic, on one level or two."""
+    r = np.random.default_rng(1)
+    dims = [r.choice(np.arange(6) if i % 2 else np.arange(6, 12), 4, replace=False) for i in range(200)]
+    rows = [(i, sorted(map(int, d)), [1] * 4) for i, d in enumerate(dims)]
+    df = spark.createDataFrame(rows, "doc_id bigint, terms array<int>, counts array<int>").repartition(80)
+    tree, leaves = subjects.bisect(df, np.ones(12))
+    for n, total, square in leaves.values():
+        used = np.flatnonzero(total)
+        assert (used < 6).all() or (used >= 6).all()
+        assert np.isclose(total.sum(), n * 2) and np.isclose(square.sum(), n)
+    assert sum(n for n, _, _ in leaves.values()) == 200 and len(leaves) > 1 and max(tree.depth) >= 1
+
+
+def test_mixture_and_names():
     leaf_a, leaf_b = np.array([3, 2, 1, 0, 0, 0.0]), np.array([0, 0, 0, 1, 1, 2.0])
-    whole = leaf_a + leaf_b
-    assert subjects.label(leaf_a, whole, lex).tolist() == [1, 0] and subjects.label(leaf_b, whole, lex).tolist() == [0, 1]
-    s, p = subjects.profiles({1: (5, leaf_a), 2: (5, leaf_b)}, lex)
-    assert s.tolist() == [0, 1] and np.allclose(p.sum(1), 1)
+    belongs = np.array([[0.9, 0.1]] * 3 + [[0.2, 0.8]] * 3)
+    assert subjects.leaf_names({7: (5, leaf_a, leaf_a), 8: (5, leaf_b, leaf_b)}, belongs) == {7: 0, 8: 1}
+    assert subjects.leaf_names({7: (5, leaf_a, leaf_a), 8: (5, leaf_b, leaf_b)}, np.full((6, 2), 0.5)) == {}
+    p = 0.98 * np.array([leaf_a / 6, leaf_b / 4]) + 0.02 / 6
     words, _ = subjects.mixture(np.zeros(6, int), np.arange(6), np.array([3, 2, 1, 2, 2, 4.0]), 1, p)
     assert abs(words[0, 0] - 6) < 0.2 and abs(words[0, 1] - 8) < 0.2
