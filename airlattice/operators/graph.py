@@ -31,10 +31,10 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, root) with the least id of each component; isolated nodes are their own root.
 
-    Alternates large-star and small-star steps, so rounds grow with the logarithm of a component's size.
+    Alternates large-star and small-star steps until nothing moves; the rounds grow with the logarithm of a component's size.
     """
     e = cut(edges.filter("a is not null and b is not null and a <> b").select("a", "b").distinct())
 
@@ -47,53 +47,56 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         moved = j.filter("b > a") if large else j.unionByName(m.select("a", F.col("a").alias("b"), "m"))
         return moved.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
-    for _ in range(max_rounds):
+    same = False
+    while not same:
         fresh = cut(star(star(e, True), False))
         same = fresh.count() == e.count() and not fresh.exceptAll(e).take(1)
         e = fresh
-        if same:
-            break
     roots = e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
     return nodes.select("id").dropna().distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
-def hop_distance(edges: DataFrame, sources: DataFrame, max_hops: int = 64) -> DataFrame:
-    """G1: (id, hops) of every node within max_hops of a source."""
+def hop_distance(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """G1: (id, hops) of every node that a source reaches, step by step until none is new."""
     e = cut(both_ways(edges).select("a", "b").distinct())
     seen = cut(sources.select("id", F.lit(0).alias("hops")).distinct())
-    front = seen
-    for hop in range(1, max_hops + 1):
-        front = front.join(e, front.id == e.a).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hops", F.lit(hop))
-        front = cut(front)
-        if not front.take(1):
-            break
-        seen = cut(seen.unionByName(front))
+    front, hop = seen, 0
+    while front.take(1):
+        hop += 1
+        front = cut(front.join(e, front.id == e.a).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hops", F.lit(hop)))
+        seen = seen.unionByName(front) if hop % 16 else cut(seen.unionByName(front))
     return seen
 
 
-def widest(edges: DataFrame, sources: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(id, margin) of the path whose least margin is greatest; a source's margin is infinite."""
+def widest(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, margin) of the path whose least margin is greatest; a source's margin is infinite. Only what a round has bettered
+    is carried on, until nothing is."""
     e = cut(both_ways(edges))
     best = cut(sources.select("id", F.lit(float("inf")).alias("margin")).distinct())
-    for _ in range(max_rounds):
-        step = best.join(e, best.id == e.a).select(F.col("b").alias("id"), F.least("margin", "w").alias("margin"))
-        fresh = cut(best.unionByName(step).groupBy("id").agg(F.max("margin").alias("margin")))
-        if not fresh.exceptAll(best).take(1):
-            return fresh
-        best = fresh
+    front = best
+    while front.take(1):
+        step = front.join(e, front.id == e.a).select(F.col("b").alias("id"), F.least("margin", "w").alias("margin")).groupBy("id").agg(F.max("margin").alias("margin"))
+        front = cut(step.join(best.withColumnRenamed("margin", "had"), "id", "left").filter("had is null or margin > had").select("id", "margin"))
+        best = cut(best.unionByName(front).groupBy("id").agg(F.max("margin").alias("margin")))
     return best
 
 
 class Graph:
-    """One planner's graph: sites by id, the best edge of each pair. Node facts: kind, height, quality, enabled, existing."""
+    """One planner's graph: sites by id, the best edge of each pair, with its margin, whether it is clear, its Fresnel clearance
+    and its length. Node facts: height, quality, existing (an installation that is there), client (no installation at all)."""
 
-    def __init__(self, edges: list[tuple[str, str, float]], clear: dict[tuple[str, str], bool] | None = None, facts: dict[str, dict] | None = None):
+    def __init__(self, edges: list[tuple[str, str, float]], clear: dict[tuple[str, str], bool] | None = None, facts: dict[str, dict] | None = None,
+                 fresnel: dict[tuple[str, str], float] | None = None, length: dict[tuple[str, str], float] | None = None):
         self.near: dict[str, dict[str, float]] = defaultdict(dict)
-        self.clear, self.facts = {}, facts or {}
+        self.clear, self.fresnel, self.length, self.facts = {}, {}, {}, facts or {}
         for a, b, w in edges:
             if a != b and w > self.near[a].get(b, float("-inf")):
                 self.near[a][b] = self.near[b][a] = w
-                self.clear[a, b] = self.clear[b, a] = (clear or {}).get((a, b), (clear or {}).get((b, a), True))
+                for to, given, usual in ((self.clear, clear, True), (self.fresnel, fresnel, float("inf")), (self.length, length, 0.0)):
+                    to[a, b] = to[b, a] = (given or {}).get((a, b), (given or {}).get((b, a), usual))
+
+    def fact(self, node: str, name: str, usual=0.0):
+        return self.facts.get(node, {}).get(name, usual)
 
     def bottleneck(self, path: list[str]) -> float:
         """A10: least margin of a path's edges."""
@@ -127,33 +130,109 @@ class Graph:
                     heapq.heappush(heap, (extend(cost, at, b), (*path, b)))
         return None
 
-    def hop_path(self, source: str, target: str) -> list[str] | None:
-        """Fewest hops, then fewest edges that aren't clear, then least height of its masts, then ids."""
-        height = lambda b: self.facts.get(b, {}).get("height", 0.0)
-        return self._best_first(source, target, (0, 0, 0.0), lambda c, a, b: (c[0] + 1, c[1] + (not self.clear[a, b]), c[2] + height(b)))
+    def _away(self, start: str, allowed) -> dict[str, int]:
+        """Hops from each node to start, over steps (a, b) towards it that are allowed."""
+        hops, queue = {start: 0}, [start]
+        for b in queue:
+            for a in self.near[b]:
+                if a not in hops and allowed(a, b):
+                    hops[a] = hops[b] + 1
+                    queue.append(a)
+        return hops
+
+    def _finest(self, source: str, target: str, allowed) -> list[str] | None:
+        """Of the paths of fewest hops over allowed steps (a, b), the best in turn by: being clear all along, least margin,
+        least Fresnel clearance, height of its inner masts, quality of its sites, length, and the ids along it. Each measure
+        leaves the steps that a best path can be made of, and is not traded for an earlier one."""
+        hops = self._away(target, allowed)
+        if source not in hops:
+            return None
+        layers, level = [], {source}
+        while target not in level:
+            layers.append([(a, b) for a in sorted(level) for b in sorted(self.near[a]) if hops.get(b, -1) == hops[a] - 1 and allowed(a, b)])
+            level = {b for _, b in layers[-1]}
+
+        def bottleneck(measure) -> float:
+            best = {source: float("inf")}
+            for steps in layers:
+                fresh: dict[str, float] = {}
+                for a, b in steps:
+                    if a in best:
+                        fresh[b] = max(fresh.get(b, float("-inf")), min(best[a], measure[a, b]))
+                best = fresh
+            return best[target]
+
+        margin = {(a, b): self.near[a][b] for steps in layers for a, b in steps}
+        for measure in (self.clear, margin, self.fresnel):
+            least = bottleneck(measure)
+            layers = [[s for s in steps if measure[s] >= least] for steps in layers]
+        best: dict[str, tuple] = {source: (0.0, 0.0, 0.0, (source,))}
+        for steps in layers:
+            fresh: dict[str, tuple] = {}
+            for a, b in steps:
+                if a in best:
+                    h, q, d, path = best[a]
+                    cost = (h + (0.0 if b == target else self.fact(b, "height")), q - self.fact(b, "quality"), d + self.length[a, b], (*path, b))
+                    fresh[b] = min(fresh.get(b, cost), cost)
+            best = fresh
+        return list(best[target][3])
 
-    def _widest(self, source: str, target: str, clear_only: bool) -> list[str] | None:
-        def extend(c, a, b):
-            if clear_only and not self.clear[a, b]:
-                return (float("inf"), c[1] + 1)
-            return (max(c[0], -self.near[a][b]), c[1] + 1)
+    def hop_path(self, source: str, target: str) -> list[str] | None:
+        """The finest of the paths of fewest hops."""
+        return self._finest(source, target, lambda a, b: True)
 
-        path = self._best_first(source, target, (float("-inf"), 0), extend)
-        return path if path and (not clear_only or self.is_clear(path)) else None
+    def widest_margin(self, source: str, target: str, clear_only: bool = False) -> float | None:
+        """The greatest least margin of a path, over clear edges alone or all; None where there is no path."""
+        heap, done = [(float("-inf"), source)], set()
+        while heap:
+            worst, a = heapq.heappop(heap)
+            if a == target:
+                return -worst
+            if a in done:
+                continue
+            done.add(a)
+            for b, w in self.near[a].items():
+                if b not in done and (self.clear[a, b] or not clear_only):
+                    heapq.heappush(heap, (max(worst, -w), b))
+        return None
 
     def reliability_path(self, source: str, target: str) -> list[str] | None:
-        """The widest of the paths that are clear all along, else the widest."""
-        return self._widest(source, target, True) or self._widest(source, target, False)
+        """The finest of the paths over edges of the widest margin, clear ones where clear ones lead there at all."""
+        least, clear = self.widest_margin(source, target, True), True
+        if least is None:
+            least, clear = self.widest_margin(source, target), False
+        return None if least is None else self._finest(source, target, lambda a, b: self.near[a][b] >= least and (self.clear[a, b] or not clear))
+
+    def _installed(self, start: str, entering) -> dict[str, tuple[int, int]]:
+        """(new installations, routers) on the cheapest way from start to each node; entering: the node that a step a, b pays for."""
+        best, heap = {}, [((0, 0), start)]
+        while heap:
+            cost, a = heapq.heappop(heap)
+            if a in best:
+                continue
+            best[a] = cost
+            for b in self.near[a]:
+                paid = entering(a, b)
+                own = (0, 0) if self.fact(paid, "client", False) else (int(not self.fact(paid, "existing", False)), 1)
+                heapq.heappush(heap, ((cost[0] + own[0], cost[1] + own[1]), b))
+        return best
 
     def installation_path(self, source: str, target: str) -> list[str] | None:
-        """Fewest new installations, then fewest hops."""
-        new = lambda b: not self.facts.get(b, {}).get("existing", False)
-        return self._best_first(source, target, (0, 0), lambda c, a, b: (c[0] + (b != target and new(b)), c[1] + 1))
+        """Fewest new installations, then fewest routers, then the finest of these."""
+        there, back = self._installed(source, lambda a, b: b), self._installed(target, lambda a, b: a)
+        if target not in there:
+            return None
+
+        def cheapest(a: str, b: str) -> bool:
+            own = (0, 0) if self.fact(b, "client", False) else (int(not self.fact(b, "existing", False)), 1)
+            return tuple(x + y + z for x, y, z in zip(there[a], own, back[b], strict=True)) == there[target]
+
+        return self._finest(source, target, cheapest)
 
-    def infrastructure_path(self, source: str, target: str, length_km) -> list[str] | None:
-        """Least cost of masts, each a fixed part and its height; lengths decide between equals."""
-        mast = lambda b: 0.0 if self.facts.get(b, {}).get("existing", False) else 100.0 + self.facts.get(b, {}).get("height", 0.0)
-        return self._best_first(source, target, (0.0,), lambda c, a, b: (c[0] + (mast(b) if b != target else 0.0) + 1e-3 * length_km(a, b),))
+    def infrastructure_path(self, source: str, target: str) -> list[str] | None:
+        """Least sum of 100 and the mast's height for each inner site, and a millionth of the metres; then ids."""
+        mast = lambda b: 100.0 + self.fact(b, "height")
+        return self._best_first(source, target, (0.0,), lambda c, a, b: (c[0] + (mast(b) if b != target else 0.0) + self.length[a, b] / 1e6,))
 
     def disjoint_paths(self, source: str, target: str, most: int = 8) -> list[list[str]]:
         """As many paths without common inner nodes as there are, by augmenting unit flows through split nodes."""
@@ -202,18 +281,31 @@ class Graph:
             paths.append(path)
         return sorted(paths, key=lambda p: (len(p), p))
 
+    def _shortest(self, source: str, target: str, without: set[str], barred: set[tuple[str, str]]) -> tuple[str, ...] | None:
+        """The path of fewest hops, then of least ids, that avoids nodes and first steps."""
+        hops = self._away(target, lambda a, b: a not in without and (a, b) not in barred)
+        if source not in hops:
+            return None
+        path = [source]
+        while path[-1] != target:
+            path.append(min(b for b in self.near[path[-1]] if hops.get(b, -1) == hops[path[-1]] - 1 and (path[-1], b) not in barred))
+        return tuple(path)
+
     def k_shortest(self, source: str, target: str, k: int) -> list[list[str]]:
-        """The k loopless paths of fewest hops, ties by ids."""
-        heap, out = [(0, (source,))], []
+        """The k loopless paths of fewest hops, ties by ids: each path found is left at each of its nodes once, by the
+        shortest way on that no path with the same beginning has taken."""
+        first = self._shortest(source, target, set(), set())
+        out, heap, known = [], [(len(first), first)] if first else [], {first}
         while heap and len(out) < k:
-            hops, path = heapq.heappop(heap)
-            if path[-1] == target:
-                out.append(list(path))
-                continue
-            for b in sorted(self.near[path[-1]]):
-                if b not in path:
-                    heapq.heappush(heap, (hops + 1, (*path, b)))
-        return out
+            _, path = heapq.heappop(heap)
+            out.append(path)
+            for i in range(len(path) - 1):
+                barred = {(p[i], p[i + 1]) for p in out if p[: i + 1] == path[: i + 1]}
+                rest = self._shortest(path[i], target, set(path[:i]), barred)
+                if rest and (found := path[:i] + rest) not in known:
+                    known.add(found)
+                    heapq.heappush(heap, (len(found), found))
+        return [list(p) for p in out]
 
     def bounded_margin_paths(self, source: str, target: str, max_hops: int) -> list[list[str]]:
         """For each number of hops up to max_hops, the widest path of so many hops at most."""

@@ -145,18 +145,18 @@ class RouteSearch:
         rows = [(f"{a}\t{b}", a, b, *(float(self.sites[s][c]) for s in (a, b) for c in ("x", "y", "h"))) for a, b in fresh]
         df = self.spark.createDataFrame(rows, "link_id string, a string, b string, ax double, ay double, ah double, bx double, by double, bh double")
         got = self.evaluate(df, self.tiles, replace(self.radio, sample_step_m=step), self.res, ends=("router", "router"))
-        for r in got.select("a", "b", "state", "two_way_db", "valid", "los_clear", "fresnel_clear").toLocalIterator():
+        for r in got.select("a", "b", "state", "two_way_db", "valid", "los_clear", "fresnel_clear", "fresnel_ratio").toLocalIterator():
             ok = r.state is None and r.valid
             self.rejected["terrain"] += not ok
-            self.done[step, r.a, r.b] = {"w": r.two_way_db, "clear": bool(r.los_clear and r.fresnel_clear), "los": bool(r.los_clear)} if ok else None
+            self.done[step, r.a, r.b] = {"w": r.two_way_db, "clear": bool(r.los_clear and r.fresnel_clear), "los": bool(r.los_clear), "fresnel": r.fresnel_ratio} if ok else None
 
     def graph(self, pairs: set[tuple[str, str]], steps: tuple[float, ...]) -> Graph:
         best = {p: next((e for s in steps if (e := self.done.get((s, *p)))), None) for p in pairs}
         # A link that the final step has refused is gone, whatever a coarser step said.
         best = {p: e for p, e in best.items() if e and ((steps[0], *p) not in self.done or self.done[steps[0], *p])}
         edges = [(a, b, e["w"]) for (a, b), e in sorted(best.items())]
-        facts = {i: {"height": s["h"], "existing": s.get("existing", False)} for i, s in self.sites.items()}
-        return Graph(edges, {p: e["clear"] for p, e in best.items()}, facts)
+        facts = {i: {"height": s["h"], "existing": s.get("existing", False), "quality": s.get("quality", 0.0), "client": s.get("kind") == "client"} for i, s in self.sites.items()}
+        return Graph(edges, {p: e["clear"] for p, e in best.items()}, facts, {p: e["fresnel"] for p, e in best.items()}, {p: self.distance(*p) for p in best})
 
     def quality(self, path: list[str]) -> Quality:
         e = [self.done[self.final, *sorted((a, b))] for a, b in zip(path, path[1:])]
@@ -185,7 +185,7 @@ class RouteSearch:
         self.probe(pairs)
         find = {
             "hops": lambda g: g.hop_path(a, b), "reliability": lambda g: g.reliability_path(a, b), "installations": lambda g: g.installation_path(a, b),
-            "infrastructure": lambda g: g.infrastructure_path(a, b, lambda x, y: self.distance(x, y) / 1000),
+            "infrastructure": lambda g: g.infrastructure_path(a, b),
         }[priority]
         while not self.stopped():  # each round certifies or adds a pair, of which there are so many
             g = self.graph(pairs, (self.final, self.coarse))

@@ -13,8 +13,9 @@ def random_graph(seed):
     names = "abcdef"
     edges = [(a, b, float(r.randint(1, 9))) for a in names for b in names if a < b and r.random() < 0.5]
     clear = {(a, b): r.random() < 0.6 for a, b, _ in edges}
-    facts = {n: {"height": float(r.randint(1, 5)), "existing": r.random() < 0.4} for n in names}
-    return G.Graph(edges, clear, facts), edges
+    facts = {n: {"height": float(r.randint(1, 5)), "existing": r.random() < 0.4, "quality": float(r.randint(0, 3)), "client": r.random() < 0.2} for n in names}
+    facts["a"]["client"] = facts["f"]["client"] = True
+    return G.Graph(edges, clear, facts, {e[:2]: float(r.randint(1, 3)) for e in edges}, {e[:2]: float(r.randint(1, 4)) for e in edges}), edges
 
 
 def simple_paths(g, s, t):
@@ -33,14 +34,20 @@ def test_paths_against_all_simple_paths(seed):
     if not paths:
         assert g.hop_path("a", "f") is None and g.disjoint_paths("a", "f") == [] and g.k_shortest("a", "f", 3) == []
         return
-    hops = min(len(p) for p in paths)
-    assert len(g.hop_path("a", "f")) == hops
-    widest = max((g.bottleneck(p) for p in paths if g.is_clear(p)), default=None)
-    assert g.bottleneck(g.reliability_path("a", "f")) == (widest if widest is not None else max(map(g.bottleneck, paths)))
-    new = lambda p: sum(not g.facts[x]["existing"] for x in p[1:-1])
-    assert new(g.installation_path("a", "f")) == min(map(new, paths))
-    cost = lambda p: sum(0 if g.facts[x]["existing"] else 100 + g.facts[x]["height"] for x in p[1:-1])
-    assert cost(g.infrastructure_path("a", "f", lambda a, b: 0.0)) == min(map(cost, paths))
+    along = lambda f, p: [f[x] for x in zip(p, p[1:])]
+    total = lambda name, nodes: sum(g.fact(n, name) for n in nodes)
+
+    def fine(p):
+        """How paths of as many hops compare."""
+        return (not g.is_clear(p), -g.bottleneck(p), -min(along(g.fresnel, p)), total("height", p[1:-1]), -total("quality", p[1:]), sum(along(g.length, p)), p)
+
+    routers = lambda p: [n for n in p[1:] if not g.fact(n, "client", False)]
+    assert g.hop_path("a", "f") == min(paths, key=lambda p: (len(p), fine(p)))
+    assert g.reliability_path("a", "f") == min(paths, key=lambda p: (not g.is_clear(p), -g.bottleneck(p), len(p), fine(p)))
+    new = lambda p: (sum(not g.fact(n, "existing", False) for n in routers(p)), len(routers(p)))
+    assert g.installation_path("a", "f") == min(paths, key=lambda p: (new(p), len(p), fine(p)))
+    cost = lambda p: sum(100 + g.fact(n, "height") for n in p[1:-1]) + sum(along(g.length, p)) / 1e6
+    assert abs(cost(g.infrastructure_path("a", "f")) - min(map(cost, paths))) < 1e-9
     assert g.k_shortest("a", "f", 4) == sorted(paths, key=lambda p: (len(p), p))[:4]
     inner = [set(p[1:-1]) for p in paths]
 
@@ -61,6 +68,17 @@ def test_paths_against_all_simple_paths(seed):
     assert chosen is not None
 
 
+def test_chain_longer_than_any_count_of_rounds(spark):
+    """A chain of ninety edges: hops, margins and the root come from its far end."""
+    names = [f"n{i:03}" for i in range(91)]
+    e = spark.createDataFrame([(a, b, 100.0 - i) for i, (a, b) in enumerate(zip(names, names[1:]))], "a string, b string, w double")
+    start = spark.createDataFrame([(names[0],)], "id string")
+    assert {r.id: r.hops for r in G.hop_distance(e, start).collect()} == {n: i for i, n in enumerate(names)}
+    assert {r.id: r.margin for r in G.widest(e, start).collect() if r.id != names[0]} == {n: 101.0 - i for i, n in enumerate(names) if i}
+    nodes = spark.createDataFrame([(n,) for n in names], "id string")
+    assert {r.root for r in G.components(nodes, e).collect()} == {names[0]}
+
+
 def test_distributed(spark):
     for seed in (1, 2, 3):
         g, edges = random_graph(seed)
@@ -71,4 +89,4 @@ def test_distributed(spark):
         assert roots == {n: min(reach[n]) for n in reach}
         start = spark.createDataFrame([("a",)], "id string")
         assert {r.id: r.hops for r in G.hop_distance(e, start).collect()} == {m: 0 if m == "a" else len(g.hop_path("a", m)) - 1 for m in reach["a"]}
-        assert {r.id: r.margin for r in G.widest(e, start).collect() if r.id != "a"} == {m: g.bottleneck(g._widest("a", m, False)) for m in reach["a"] if m != "a"}
+        assert {r.id: r.margin for r in G.widest(e, start).collect() if r.id != "a"} == {m: g.widest_margin("a", m) for m in reach["a"] if m != "a"}
