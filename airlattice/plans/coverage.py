@@ -146,21 +146,6 @@ def c9(spark, d):
     return compared(spark, d).filter("old is not null and new is not null").groupBy("scenario", o.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-_FAIL = """, busiest AS (SELECT job_id, source_id AS failed FROM e WHERE valid_two_way GROUP BY job_id, source_id QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY count(*) DESC, source_id) = 1),
-  u AS (SELECT e.job_id, e.cell, count(DISTINCT source_id) AS before_, count(DISTINCT source_id) FILTER (WHERE source_id <> failed) AS after_ FROM e JOIN busiest b ON b.job_id = e.job_id WHERE valid_two_way GROUP BY ALL)"""
-
-
-@query("c5_node_failure", _CTE + _FAIL + " SELECT job_id, count(*) AS served, count(*) FILTER (WHERE after_ = 0) AS lost_cells, count(*) FILTER (WHERE after_ = 1) AS single_source FROM u GROUP BY job_id")
-def c5(spark, d):
-    """With each run's busiest source failed, cells that lose all service, and those left with one source."""
-    ok = entries(spark, d).filter("valid_two_way").select("job_id", "cell", "source_id").distinct()
-    counts = ok.groupBy("job_id", "source_id").agg(F.count("*").alias("n"))
-    busiest = counts.groupBy("job_id").agg(F.min(F.struct(-F.col("n"), F.col("source_id").alias("failed")))["failed"].alias("failed"))
-    u = ok.groupBy("job_id", "cell").agg(F.collect_set("source_id").alias("usable")).join(busiest, "job_id")
-    left = F.size(F.array_except("usable", F.array("failed")))
-    return u.groupBy("job_id").agg(F.count("*").alias("served"), F.count_if(left == 0).alias("lost_cells"), F.count_if(left == 1).alias("single_source"))
-
-
 _EDGES = """, ed AS (SELECT a.source_id AS a, b.source_id AS b, max(least(a.two_way_margin_db, b.two_way_margin_db)) + 0e0 AS w FROM e a JOIN e b ON a.job_id = b.job_id AND a.cell = b.cell AND a.source_id < b.source_id
   WHERE a.valid_two_way AND b.valid_two_way GROUP BY ALL), nd AS (SELECT DISTINCT source_id AS id FROM e)"""
 
@@ -184,29 +169,77 @@ def g9(spark, d):
     return graph.components(nodes, shared_cell_edges(spark, d))
 
 
-@query("g1_hop_distance", f"""{_CTE.replace("WITH", "WITH RECURSIVE", 1)}{_EDGES}, r AS (SELECT min(id) AS id, 0 AS hops FROM nd UNION SELECT CASE WHEN ed.a = r.id THEN ed.b ELSE ed.a END, hops + 1 FROM r JOIN ed ON ed.a = r.id OR ed.b = r.id WHERE hops < 20)
+@query("g1_hop_distance", f"""{_CTE.replace("WITH", "WITH RECURSIVE", 1)}{_EDGES}, r AS (SELECT min(id) AS id, 0 AS hops FROM nd UNION SELECT CASE WHEN ed.a = r.id THEN ed.b ELSE ed.a END, hops + 1 FROM r JOIN ed ON ed.a = r.id OR ed.b = r.id WHERE hops < (SELECT count(*) FROM nd))
   SELECT id, min(hops) AS hops FROM r GROUP BY id""")
 def g1(spark, d):
     first = entries(spark, d).agg(F.min("source_id").alias("id"))
-    return graph.hop_distance(shared_cell_edges(spark, d), first, 20)
+    return graph.hop_distance(shared_cell_edges(spark, d), first)
 
 
-@query("g2_widest_margin")
+@query("g2_widest_margin", f"""{_CTE.replace("WITH", "WITH RECURSIVE", 1)}{_EDGES}, em AS MATERIALIZED (SELECT a, b, w FROM ed UNION ALL SELECT b, a, w FROM ed), r AS (SELECT min(id) AS id, CAST('inf' AS DOUBLE) AS margin FROM nd
+  UNION SELECT em.b, least(r.margin, em.w) FROM r JOIN em ON em.a = r.id) SELECT id, max(margin) AS margin FROM r WHERE id <> (SELECT min(id) FROM nd) GROUP BY id""")
 def g2(spark, d):
     first = entries(spark, d).agg(F.min("source_id").alias("id"))
     return graph.widest(shared_cell_edges(spark, d), first).filter("margin < double('inf')")
 
 
+_FAIL = """, busiest AS (SELECT job_id, source_id AS failed FROM e WHERE valid_two_way GROUP BY job_id, source_id QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY count(*) DESC, source_id) = 1),
+  u AS (SELECT e.job_id, e.cell, count(DISTINCT source_id) AS before_, count(DISTINCT source_id) FILTER (WHERE source_id <> failed) AS after_ FROM e JOIN busiest b ON b.job_id = e.job_id WHERE valid_two_way GROUP BY ALL),
+  sv AS (SELECT job_id, count(*) AS served, count(*) FILTER (WHERE after_ = 0) AS lost_cells, count(*) FILTER (WHERE after_ = 1) AS single_source FROM u GROUP BY job_id),
+  jn AS (SELECT DISTINCT job_id, source_id AS id FROM e WHERE job_id IN (SELECT job_id FROM busiest)),
+  je AS MATERIALIZED (SELECT DISTINCT a.job_id, a.source_id AS a, b.source_id AS b FROM e a JOIN e b ON a.job_id = b.job_id AND a.cell = b.cell AND a.source_id <> b.source_id WHERE a.valid_two_way AND b.valid_two_way),
+  r0 AS (SELECT job_id, id AS a, id AS b FROM jn UNION SELECT r0.job_id, r0.a, je.b FROM r0 JOIN je ON je.job_id = r0.job_id AND je.a = r0.b),
+  jf AS (SELECT jn.* FROM jn JOIN busiest USING (job_id) WHERE id <> failed),
+  r1 AS (SELECT job_id, id AS a, id AS b FROM jf UNION SELECT r1.job_id, r1.a, je.b FROM r1 JOIN je ON je.job_id = r1.job_id AND je.a = r1.b JOIN busiest f ON f.job_id = je.job_id AND f.failed <> je.b),
+  n0 AS (SELECT job_id, count(*) FILTER (WHERE a = m) AS n FROM (SELECT job_id, a, min(b) AS m FROM r0 GROUP BY ALL) GROUP BY job_id),
+  n1 AS (SELECT job_id, count(*) FILTER (WHERE a = m) AS n FROM (SELECT job_id, a, min(b) AS m FROM r1 GROUP BY ALL) GROUP BY job_id)"""
+
+
+@query("c5_node_failure", _CTE.replace("WITH", "WITH RECURSIVE", 1) + _FAIL + """ SELECT sv.job_id, failed, served, lost_cells, single_source, n0.n AS parts_before, coalesce(n1.n, 0) AS parts_after
+  FROM sv JOIN busiest USING (job_id) JOIN n0 USING (job_id) LEFT JOIN n1 USING (job_id)""")
+def c5(spark, d):
+    """With each run's busiest source failed, cells that lose all service, those left with one source, and the parts
+    that the run's sources fall into before and after. Sources are joined where they serve a common cell."""
+    ok = entries(spark, d).filter("valid_two_way").select("job_id", "cell", "source_id").distinct()
+    counts = ok.groupBy("job_id", "source_id").agg(F.count("*").alias("n"))
+    busiest = counts.groupBy("job_id").agg(F.min(F.struct(-F.col("n"), F.col("source_id").alias("failed")))["failed"].alias("failed"))
+    per_cell = ok.groupBy("job_id", "cell").agg(F.collect_set("source_id").alias("usable"))
+    u = per_cell.join(busiest, "job_id")
+    left = F.size(F.array_except("usable", F.array("failed")))
+    served = u.groupBy("job_id").agg(F.count("*").alias("served"), F.count_if(left == 0).alias("lost_cells"), F.count_if(left == 1).alias("single_source"))
+    # A cell's sources hang together: joining each to the least of them keeps the parts, with one edge a source.
+    name = lambda c: F.concat_ws("\t", F.col("job_id"), c)
+    nodes = entries(spark, d).select("job_id", "source_id").distinct().join(busiest, "job_id")
+
+    def parts(cells_: DataFrame, sites: DataFrame, n: str) -> DataFrame:
+        least = cells_.select("job_id", F.array_min("l").alias("m"), F.explode("l").alias("o")).filter("m <> o").distinct()
+        roots = graph.components(sites.select(name(F.col("source_id")).alias("id")), least.select(name(F.col("m")).alias("a"), name(F.col("o")).alias("b")))
+        return roots.select("root").distinct().groupBy(F.split_part("root", F.lit("\t"), F.lit(1)).alias("job_id")).agg(F.count("*").alias(n))
+
+    before = parts(u.select("job_id", F.col("usable").alias("l")), nodes, "parts_before")
+    after = parts(u.select("job_id", F.array_except("usable", F.array("failed")).alias("l")), nodes.filter("source_id <> failed"), "parts_after")
+    got = served.join(busiest, "job_id").join(before, "job_id").join(after, "job_id", "left")
+    return got.select("job_id", "failed", "served", "lost_cells", "single_source", "parts_before", F.coalesce("parts_after", F.lit(0)).alias("parts_after"))
+
+
 @query("j18_induced_subgraph", _CTE + _EDGES + ", keep AS (SELECT source_id AS id FROM e GROUP BY source_id HAVING count(*) FILTER (WHERE valid_two_way) >= 3) SELECT a, b, w FROM ed WHERE a IN (SELECT id FROM keep) AND b IN (SELECT id FROM keep)")
 def j18(spark, d):
     keep = entries(spark, d).groupBy(F.col("source_id").alias("id")).agg(F.count_if("valid_two_way").alias("n")).filter("n >= 3").select("id")
     return graph.best_edges(shared_cell_edges(spark, d), keep)
 
 
-@query("k1_cell_chunks", _CTE + ' SELECT job_id, cell // 20 AS chunk, count(*) AS n, min(cell) AS first_cell, max(cell) AS last_cell FROM cells GROUP BY ALL')
+@query("k1_cell_chunks", _CTE + """, t AS (SELECT job_id, cell // 20 AS chunk, cell, '{"index":' || cell || ',"state":"' || state || '","source_count":' || coalesce(source_count, 0) || '}' AS one FROM cells)
+  SELECT job_id, chunk, '[' || string_agg(one, ',' ORDER BY cell) || ']' AS line FROM t GROUP BY ALL""")
 def k1(spark, d):
-    """Ordered chunks of 20 cells, as the line writer takes them (sinks.write_cell_lines)."""
-    return cells(spark, d).groupBy("job_id", F.expr("cell div 20").alias("chunk")).agg(F.count("*").alias("n"), F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"))
+    """The lines of a stored run, each a JSON array of at most 20 cells in order."""
+    one = F.struct(F.col("cell").alias("index"), "state", F.coalesce("source_count", F.lit(0)).alias("source_count"))
+    return cells(spark, d).groupBy("job_id", F.expr("cell div 20").alias("chunk")).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("line"))
+
+
+@query("k8_coverage_json", _CTE + """ SELECT job_id, '{"job_id":"' || job_id || '","cells":' || count(*) || ',"counts":{' || """ + " || ',' || ".join(f"""'"{x}":' || count(*) FILTER (WHERE state = '{x}')""" for x in _STATES) + """ || '}}' AS document FROM cells GROUP BY job_id""")
+def k8(spark, d):
+    c = cells(spark, d).groupBy("job_id").agg(F.count("*").alias("cells"), F.struct(*(F.count_if(F.col("state") == x).alias(x) for x in _STATES)).alias("counts"))
+    return c.select("job_id", F.to_json(F.struct("job_id", "cells", "counts")).alias("document"))
 
 
 @query("s15_page", _CTE + " SELECT job_id, cell, state FROM cells WHERE cell >= 10 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY cell) <= 256")
@@ -216,10 +249,14 @@ def s15(spark, d):
     return cells(spark, d).filter("cell >= 10").withColumn("r", F.row_number().over(w)).filter("r <= 256").select("job_id", "cell", "state")
 
 
-@query("w11_strict_index_order", _CTE + ", l AS (SELECT job_id, cell, lag(cell) OVER (PARTITION BY job_id ORDER BY cell) AS before FROM cells) SELECT job_id, bool_and(before IS NULL OR cell > before) AS strict, count(*) AS n FROM l GROUP BY job_id")
+@query("w11_strict_index_order", """SELECT job_id, count(*) AS cells, count(*) FILTER (WHERE len(list_filter(range(1, len(l)), lambda i: l[i] >= l[i + 1])) > 0) AS out_of_order
+  FROM (SELECT DISTINCT job_id, "index" AS cell, list_transform(sources, lambda s: s.source_id) AS l FROM coverage WHERE sources IS NOT NULL) GROUP BY job_id""")
 def w11(spark, d):
-    l = cells(spark, d).withColumn("before", F.lag("cell").over(Window.partitionBy("job_id").orderBy("cell")))  # noqa: E741
-    return l.groupBy("job_id").agg(F.bool_and(F.col("before").isNull() | (F.col("cell") > F.col("before"))).alias("strict"), F.count("*").alias("n"))
+    """Cells whose list of sources, as it stands, isn't in strictly rising order of ids. Entries without id are not compared."""
+    c = load(spark, d, "coverage").filter("sources is not null").select("job_id", F.col("index").alias("cell"), F.transform("sources", lambda s: s["source_id"]).alias("l")).distinct()
+    n = F.greatest(F.size("l") - 1, F.lit(0))
+    wrong = F.exists(F.zip_with(F.slice("l", F.lit(1), n), F.slice("l", F.lit(2), n), lambda a, b: F.coalesce(a >= b, F.lit(False))), lambda x: x)
+    return c.groupBy("job_id").agg(F.count("*").alias("cells"), F.count_if(wrong).alias("out_of_order"))
 
 
 # A concave polygon in the runs' metres, tested by edges.
@@ -248,58 +285,148 @@ def j7(spark, d):
     return cells(spark, d).filter(inside_polygon(F.col("x"), F.col("y"))).groupBy("job_id").agg(F.count("*").alias("inside"))
 
 
-@query("a22_point_targets", _CTE + """, p AS (SELECT job_id, cell, min(sqrt(x * x + y * y)) AS dist FROM cells WHERE state <> 'outside_area' GROUP BY ALL), near AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY dist, cell) = 1)
-  SELECT n.job_id, n.cell, count(*) FILTER (WHERE valid_two_way) AS passing, max(two_way_margin_db) FILTER (WHERE valid_two_way) + 0e0 AS best_db,
-  CASE WHEN count(*) FILTER (WHERE valid_two_way AND two_way_margin_db >= 3) > 0 THEN 'pass' WHEN count(*) FILTER (WHERE rejection = 'profile cap') > 0 THEN 'unresolved' WHEN count(*) FILTER (WHERE rejection = 'missing terrain') > 0 THEN 'unknown' ELSE 'fail' END AS state
-  FROM near n LEFT JOIN e ON e.job_id = n.job_id AND e.cell = n.cell GROUP BY ALL""")
+# Targets in the runs' metres: points, and a road as a polyline that is sampled every ROAD_STEP metres and at its end.
+POINTS = [("mast", 0.0, 0.0), ("hut", -1310.0, 870.0), ("farm", 1740.0, -620.0), ("ferry", 2260.0, 1980.0), ("abroad", 90_000.0, 0.0)]
+ROAD, ROAD_STEP = [(-2400.0, -1600.0), (-300.0, 500.0), (1500.0, -400.0), (2300.0, 2200.0)], 175.0
+
+
+def road_samples() -> list[tuple[int, float, float, float]]:
+    """(place, x, y, weight): each sample stands for the road from half way to the one before to half way to the next."""
+    ends = [0.0]
+    for (x1, y1), (x2, y2) in zip(ROAD, ROAD[1:]):
+        ends.append(ends[-1] + ((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.5)
+    marks = [i * ROAD_STEP for i in range(int(ends[-1] // ROAD_STEP) + 1)]
+    marks += [ends[-1]] if marks[-1] < ends[-1] else []
+    out = []
+    for i, m in enumerate(marks):
+        k = max(j for j in range(len(ROAD) - 1) if ends[j] <= m)
+        t = (m - ends[k]) / (ends[k + 1] - ends[k])
+        weight = (marks[min(i + 1, len(marks) - 1)] - marks[max(i - 1, 0)]) / 2
+        out.append((i, ROAD[k][0] + t * (ROAD[k + 1][0] - ROAD[k][0]), ROAD[k][1] + t * (ROAD[k + 1][1] - ROAD[k][1]), weight))
+    return out
+
+
+def footprints(spark, d) -> DataFrame:
+    """Cells with their run's half cell (h) and bounds (w, e, s, n): half the least step between its columns or rows, 250 m for a
+    lone cell; the bounds lie half a cell beyond the outermost centres."""
+    c = cells(spark, d)
+    places = lambda v: F.array_sort(F.collect_set(v))
+    step = lambda l: F.array_min(F.zip_with(F.slice(l, 2, F.greatest(F.size(l) - 1, F.lit(0))), l, lambda b, a: b - a))  # noqa: E731, E741
+    own = c.groupBy("job_id").agg(places("x").alias("xs"), places("y").alias("ys"))
+    own = own.withColumn("h", F.coalesce(F.least(step("xs"), step("ys")) / 2, F.lit(250.0)))
+    own = own.select("job_id", "h", *((F.array_min(v) - F.col("h")).alias(n) for v, n in (("xs", "w"), ("ys", "s"))), *((F.array_max(v) + F.col("h")).alias(n) for v, n in (("xs", "e"), ("ys", "n"))))
+    return c.join(own, "job_id")
+
+
+_FOOT = """, dx AS (SELECT job_id, min(d) AS d FROM (SELECT job_id, lead(x) OVER (PARTITION BY job_id ORDER BY x) - x AS d FROM (SELECT DISTINCT job_id, x FROM cells)) GROUP BY job_id),
+  dy AS (SELECT job_id, min(d) AS d FROM (SELECT job_id, lead(y) OVER (PARTITION BY job_id ORDER BY y) - y AS d FROM (SELECT DISTINCT job_id, y FROM cells)) GROUP BY job_id),
+  hf AS (SELECT job_id, coalesce(least(dx.d, dy.d) / 2, 250e0) AS h FROM dx JOIN dy USING (job_id)),
+  foot AS (SELECT c.*, h, min(x) OVER w - h AS w_, max(x) OVER w + h AS e_, min(y) OVER w - h AS s_, max(y) OVER w + h AS n_ FROM cells c JOIN hf USING (job_id) WINDOW w AS (PARTITION BY job_id))"""
+
+
+def in_cells(spark, d, targets: DataFrame) -> DataFrame:
+    """targets (x, y and others) by run, with the cell each lies in: the one whose square, its lower edges counted in, holds it;
+    none outside the run's cells. Runs are small beside the cells: the squares are met by an equi-join on their numbers."""
+    f = footprints(spark, d)
+    at = lambda v, low: F.floor((F.col(v) - F.col(low)) / (2 * F.col("h"))).cast("bigint")
+    grid = f.withColumns({"gx": at("x", "w"), "gy": at("y", "s")}).groupBy("job_id", "gx", "gy").agg(F.min_by(F.struct("cell", "state", "best_margin_db"), "cell").alias("c"))
+    runs = f.select("job_id", "w", "s", "h").distinct()
+    t = runs.join(F.broadcast(targets))  # a few targets, fixed above
+    t = t.withColumns({"gx": at("x", "w"), "gy": at("y", "s")}).join(grid, ["job_id", "gx", "gy"], "left")
+    return t.select("job_id", *targets.columns, "c.cell", "c.state", "c.best_margin_db")
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) if isinstance(v, int) else f"{v!r}e0" for v in r) + ")" for r in rows)
+
+
+def _in_cells_sql(rows, names: str) -> str:
+    return f"""{_FOOT}, tg AS (SELECT * FROM (VALUES {_values(rows)}) v({names})), ru AS (SELECT DISTINCT job_id FROM foot),
+  hit AS (SELECT ru.job_id, tg.*, f.cell, f.state, f.best_margin_db FROM ru CROSS JOIN tg LEFT JOIN foot f ON f.job_id = ru.job_id
+    AND floor((f.x - f.w_) / (2 * f.h)) = floor((tg.x - f.w_) / (2 * f.h)) AND floor((f.y - f.s_) / (2 * f.h)) = floor((tg.y - f.s_) / (2 * f.h)) QUALIFY row_number() OVER (PARTITION BY ru.job_id, tg.target ORDER BY f.cell) = 1)"""
+
+
+_POINT_STATE = """CASE WHEN h.cell IS NULL OR h.state = 'outside_area' THEN 'not_assessed' WHEN count(*) FILTER (WHERE valid_two_way AND two_way_margin_db >= 3) > 0 THEN 'pass'
+  WHEN count(*) FILTER (WHERE rejection = 'profile cap') > 0 THEN 'unresolved' WHEN count(*) FILTER (WHERE rejection = 'missing terrain') > 0 THEN 'unknown' ELSE 'fail' END"""
+_POINTS = _in_cells_sql(POINTS, "target, x, y") + f""", pt AS (SELECT h.job_id, h.target, h.cell, count(*) FILTER (WHERE valid_two_way) AS passing, max(two_way_margin_db) FILTER (WHERE valid_two_way) + 0e0 AS best_db, {_POINT_STATE} AS outcome
+  FROM hit h LEFT JOIN e ON e.job_id = h.job_id AND e.cell = h.cell GROUP BY h.job_id, h.target, h.cell, h.state)"""
+
+
+@query("a22_point_targets", _CTE + _POINTS + " SELECT job_id, target, cell, passing, best_db, outcome FROM pt")
 def a22(spark, d):
-    """The point at each run's origin, in the cell nearest to it: passing sources, best margin, and the target's state."""
-    dist = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
-    near = cells(spark, d).filter("state <> 'outside_area'").groupBy("job_id").agg(F.min(F.struct(dist, "cell"))["cell"].alias("cell"))
+    """Each point target of each run in its cell: the sources that pass, the best margin, and the outcome."""
+    near = in_cells(spark, d, spark.createDataFrame(POINTS, "target string, x double, y double"))
     ok = F.col("valid_two_way")
-    g = near.join(entries(spark, d).drop("endpoint"), ["job_id", "cell"], "left").groupBy("job_id", "cell").agg(
+    g = near.join(entries(spark, d).drop("endpoint"), ["job_id", "cell"], "left").groupBy("job_id", "target", "cell", "state").agg(
         F.count_if(ok).alias("passing"), (F.max(F.when(ok, F.col("two_way_margin_db"))) + 0.0).alias("best_db"), F.count_if(ok & (F.col("two_way_margin_db") >= 3)).alias("p"),
-        F.count_if(F.col("rejection") == "profile cap").alias("x"), F.count_if(F.col("rejection") == "missing terrain").alias("u"),
+        F.count_if(F.col("rejection") == "profile cap").alias("q"), F.count_if(F.col("rejection") == "missing terrain").alias("u"),
     )
-    return g.select("job_id", "cell", "passing", "best_db", F.when(F.col("p") > 0, "pass").when(F.col("x") > 0, "unresolved").when(F.col("u") > 0, "unknown").otherwise("fail").alias("state"))
+    none = F.col("cell").isNull() | (F.col("state") == "outside_area")
+    outcome = F.when(none, "not_assessed").when(F.col("p") > 0, "pass").when(F.col("q") > 0, "unresolved").when(F.col("u") > 0, "unknown").otherwise("fail")
+    return g.select("job_id", "target", "cell", "passing", "best_db", outcome.alias("outcome"))
 
 
-@query("a20_road_target", _CTE + """, s AS (SELECT job_id, x, y, state, best_margin_db, lead(x) OVER (PARTITION BY job_id ORDER BY cell) AS nx, lead(y) OVER (PARTITION BY job_id ORDER BY cell) AS ny FROM cells),
-  g AS (SELECT job_id, state, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS len, best_margin_db FROM s WHERE nx IS NOT NULL)
-  SELECT job_id, state, floor(sum(len) * 100e0 + 0.5e0) / 100e0 AS metres, min(best_margin_db) FILTER (WHERE state = 'covered') + 0e0 AS worst_db FROM g GROUP BY ALL""")
-def a20(spark, d):
-    """A line through a run's cells in order; lengths by state, and the worst passing margin."""
-    w = Window.partitionBy("job_id").orderBy("cell")
-    s = cells(spark, d).withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).filter("nx is not null")
-    dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
-    s = s.withColumn("len", F.sqrt(dx * dx + dy * dy))
-    return s.groupBy("job_id", "state").agg((F.floor(F.sum("len") * 100.0 + 0.5) / 100.0).alias("metres"), (F.min(F.when(F.col("state") == "covered", F.col("best_margin_db"))) + 0.0).alias("worst_db"))
+@query("a23_report_summary", _CTE + _POINTS + " SELECT job_id, count(*) FILTER (WHERE outcome = 'pass') AS passed, count(*) FILTER (WHERE outcome = 'fail') AS failed, count(*) FILTER (WHERE outcome = 'unresolved') AS unresolved, count(*) FILTER (WHERE outcome NOT IN ('pass', 'fail', 'unresolved')) AS unknown FROM pt GROUP BY job_id")
+def a23(spark, d):
+    """A report's targets by outcome; whatever else there is counts as unknown."""
+    o = F.col("outcome")
+    return a22(spark, d).groupBy("job_id").agg(F.count_if(o == "pass").alias("passed"), F.count_if(o == "fail").alias("failed"), F.count_if(o == "unresolved").alias("unresolved"), F.count_if(~o.isin("pass", "fail", "unresolved")).alias("unknown"))
 
 
-@query("a23_report_summary", _CTE + " SELECT endpoint, count(*) FILTER (WHERE state = 'covered') AS passed, count(*) FILTER (WHERE state = 'uncovered') AS failed, count(*) FILTER (WHERE state = 'unresolved') AS unresolved, count(*) FILTER (WHERE state NOT IN ('covered', 'uncovered', 'unresolved')) AS unknown FROM cells GROUP BY endpoint")
-def a23(spark, d):
-    s = F.col("state")
-    return cells(spark, d).groupBy("endpoint").agg(
-        F.count_if(s == "covered").alias("passed"), F.count_if(s == "uncovered").alias("failed"), F.count_if(s == "unresolved").alias("unresolved"), F.count_if(~s.isin("covered", "uncovered", "unresolved")).alias("unknown")
+@query("a20_road_target", _CTE + _in_cells_sql(road_samples(), "target, x, y, weight") + """ SELECT job_id, coalesce(state, 'outside_area') AS state, count(*) AS samples, floor(sum(weight) * 100e0 + 0.5e0) / 100e0 AS metres,
+  min(best_margin_db) FILTER (WHERE state = 'covered') + 0e0 AS worst_db FROM hit GROUP BY ALL""")
+def a20(spark, d):
+    """The road's metres by the state of the cells it runs through, and the worst margin where it is covered."""
+    t = in_cells(spark, d, spark.createDataFrame(road_samples(), "target int, x double, y double, weight double"))
+    return t.groupBy("job_id", F.coalesce("state", F.lit("outside_area")).alias("state")).agg(
+        F.count("*").alias("samples"), (F.floor(F.sum("weight") * 100.0 + 0.5) / 100.0).alias("metres"), (F.min(F.when(F.col("state") == "covered", F.col("best_margin_db"))) + 0.0).alias("worst_db")
     )
 
 
-@query("k7_geojson_bounds", _CTE + " SELECT job_id, cell, greatest(x - 250e0, -2000e0) AS west, least(x + 250e0, 2000e0) AS east, greatest(y - 250e0, -2000e0) AS south, least(y + 250e0, 2000e0) AS north FROM cells WHERE x BETWEEN -2250 AND 2250 AND y BETWEEN -2250 AND 2250")
+@query("k7_geojson_bounds", _CTE + _FOOT + " SELECT job_id, cell, greatest(x - h, w_) AS west, least(x + h, e_) AS east, greatest(y - h, s_) AS south, least(y + h, n_) AS north FROM foot")
 def k7(spark, d):
-    """Footprints of all cells, clipped to their run's own bounds. Half a cell is half the least step between the
-    run's columns or rows (250 m for a lone cell); the bounds lie half a cell beyond the outermost centres."""
-    c = cells(spark, d).select("job_id", "cell", "x", "y")
-    places = lambda v: F.array_sort(F.collect_set(v))
-    step = lambda l: F.array_min(F.zip_with(F.slice(l, 2, F.greatest(F.size(l) - 1, F.lit(0))), l, lambda b, a: b - a))  # noqa: E731, E741
-    own = c.groupBy("job_id").agg(places("x").alias("xs"), places("y").alias("ys"))
-    own = own.withColumn("h", F.coalesce(F.least(step("xs"), step("ys")) / 2, F.lit(250.0)))
-    own = own.select("job_id", "h", *((F.array_min(v) - F.col("h")).alias(n) for v, n in (("xs", "w"), ("ys", "s"))), *((F.array_max(v) + F.col("h")).alias(n) for v, n in (("xs", "e"), ("ys", "n"))))
-    c = c.join(own, "job_id")
+    """Footprints of all cells, clipped to their run's own bounds."""
+    c = footprints(spark, d)
     return c.select("job_id", "cell", F.greatest(F.col("x") - F.col("h"), "w").alias("west"), F.least(F.col("x") + F.col("h"), "e").alias("east"), F.greatest(F.col("y") - F.col("h"), "s").alias("south"), F.least(F.col("y") + F.col("h"), "n").alias("north"))
 
 
-@query("f35_run_fingerprint", _CTE + " SELECT job_id, sha256('run' || chr(1) || job_id || chr(1) || min(endpoint) || chr(1) || count(*)) AS fingerprint FROM cells GROUP BY job_id")
+@query("k7_geojson_features", _CTE + _FOOT + """ SELECT job_id, cell, '{"type":"Feature","geometry":' || CASE WHEN state = 'outside_area' THEN 'null' ELSE '{"type":"Polygon","coordinates":[[' ||
+  '[' || x - h || ',' || y - h || '],[' || x + h || ',' || y - h || '],[' || x + h || ',' || y + h || '],[' || x - h || ',' || y + h || '],[' || x - h || ',' || y - h || ']]]}' END || ',"properties":{"index":' || cell || ',"state":"' || state || '"}}' AS feature FROM foot""")
+def k7_features(spark, d):
+    """A run's cells as GeoJSON features, in its own metres; a cell outside the area has no geometry."""
+    x, y, h = F.col("x"), F.col("y"), F.col("h")
+    corner = lambda a, b: F.array(x + a * h, y + b * h)
+    ring = F.array(corner(F.lit(-1), F.lit(-1)), corner(F.lit(1), F.lit(-1)), corner(F.lit(1), F.lit(1)), corner(F.lit(-1), F.lit(1)), corner(F.lit(-1), F.lit(-1)))
+    shape = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
+    shape = F.when(F.col("state") == "outside_area", "null").otherwise(shape)
+    properties = F.to_json(F.struct(F.col("cell").alias("index"), "state"))
+    return footprints(spark, d).select("job_id", "cell", F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), properties, F.lit("}")).alias("feature"))
+
+
+_PRINT = """, fp AS (SELECT job_id, min(endpoint) AS endpoint, count(*) AS n, sha256('coverage-run' || chr(0) || '{"cells":' || count(*) || ',"endpoint":"' || min(endpoint) || '","outside":' || count(*) FILTER (WHERE state = 'outside_area')
+  || ',"rows":' || count(DISTINCT y) || '}') AS fingerprint, count(*) FILTER (WHERE state = 'not_evaluated') AS open_, count(*) FILTER (WHERE state = 'unresolved') AS unresolved FROM cells GROUP BY job_id)"""
+
+
+def fingerprints(spark, d) -> DataFrame:
+    """SHA-256 of a domain tag, a zero byte, and the canonical text of what a run was asked for, its keys sorted."""
+    s = F.col("state")
+    c = cells(spark, d).groupBy("job_id").agg(
+        F.min("endpoint").alias("endpoint"), F.count("*").alias("cells"), F.count_if(s == "outside_area").alias("outside"), F.countDistinct("y").alias("rows"), F.count_if(s == "not_evaluated").alias("open_"), F.count_if(s == "unresolved").alias("unresolved")
+    )
+    text = F.to_json(F.struct("cells", "endpoint", "outside", "rows"))
+    return c.withColumn("fingerprint", F.sha2(F.concat(F.lit("coverage-run\0"), text), 256))
+
+
+@query("f35_run_fingerprint", _CTE + _PRINT + " SELECT job_id, fingerprint FROM fp")
 def f35(spark, d):
-    """The identity by which a stored run is found again."""
-    c = cells(spark, d).groupBy("job_id").agg(F.min("endpoint").alias("e"), F.count("*").cast("string").alias("n"))
-    return c.select("job_id", F.sha2(F.concat_ws("\u0001", F.lit("run"), "job_id", "e", "n"), 256).alias("fingerprint"))
+    return fingerprints(spark, d).select("job_id", "fingerprint")
+
+
+@query("c10_reusable_runs", _CTE + _PRINT + """ SELECT job_id, fingerprint, CASE WHEN open_ > 0 THEN 'incomplete' WHEN unresolved > 0 THEN 'unresolved' END AS stale,
+  min(CASE WHEN open_ = 0 AND unresolved = 0 THEN job_id END) OVER (PARTITION BY endpoint, fingerprint) AS reuse FROM fp""")
+def c10(spark, d):
+    """The run that answers for each fingerprint again, the first complete one of it, and the first reason why a run can't."""
+    stale = F.when(F.col("open_") > 0, "incomplete").when(F.col("unresolved") > 0, "unresolved")
+    f = fingerprints(spark, d).withColumn("stale", stale)
+    reuse = f.filter("stale is null").groupBy("fingerprint").agg(F.min("job_id").alias("reuse"))
+    return f.join(reuse, "fingerprint", "left").select("job_id", "fingerprint", "stale", "reuse")

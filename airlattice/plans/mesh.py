@@ -24,8 +24,10 @@ def name_of(c: str):
     return F.nullif(F.get_json_object(c, "$.name"), F.lit(""))
 
 
-def observations(spark, d) -> DataFrame:
-    return load(spark, d, "observations").withColumns({"observer_id": norm_id("observer_id"), "sender_pubkey": norm_id("sender_pubkey")}).distinct()
+def observations(spark, d, *columns: str) -> DataFrame:
+    """Receptions once each, with these columns beside their key: a row that comes twice is alike in all, so the rest is not read."""
+    o = load(spark, d, "observations").withColumns({"observer_id": norm_id("observer_id"), "sender_pubkey": norm_id("sender_pubkey")})
+    return o.select("endpoint", "packet_id", "observation_key", *columns).distinct()
 
 
 def latest_runs(spark, d) -> DataFrame:
@@ -41,7 +43,7 @@ def nodes(spark, d) -> DataFrame:
 
 def adverts(spark, d) -> DataFrame:
     """The latest valid advert of each sender, by time in the store's reading, then packet."""
-    o = observations(spark, d).filter(F.col("sender_pubkey").isNotNull() & valid_location("advert_lat", "advert_lon"))
+    o = observations(spark, d, "sender_pubkey", "advert_lat", "advert_lon", "advert_name").filter(F.col("sender_pubkey").isNotNull() & valid_location("advert_lat", "advert_lon"))
     w = Window.partitionBy("endpoint", "sender_pubkey").orderBy(F.desc("packet_id"), F.desc("observation_key"))
     o = o.withColumn("priority", F.row_number().over(w)).filter("priority = 1")
     return o.select("endpoint", F.col("sender_pubkey").alias("pubkey"), F.col("advert_lat").alias("lat"), F.col("advert_lon").alias("lon"), F.nullif("advert_name", F.lit("")).alias("name"))
@@ -54,7 +56,7 @@ def observers(spark, d) -> DataFrame:
 
 def observed(spark, d) -> DataFrame:
     """U2 with J13's name pick: observers seen in receptions, and the least of their names, so that it is always the same."""
-    o = observations(spark, d).filter("observer_id is not null")
+    o = load(spark, d, "observations").select("endpoint", norm_id("observer_id").alias("observer_id"), "observer_name").filter("observer_id is not null")
     return o.groupBy("endpoint", "observer_id").agg(F.min(F.nullif("observer_name", F.lit(""))).alias("name"))
 
 
@@ -174,7 +176,7 @@ def a14(spark, d):
 
 @query("a13_median_per_observer", _CTE + "SELECT endpoint, observer_id, median(snr) FILTER (WHERE isfinite(snr)) + 0e0 AS median_snr, median(rssi) FILTER (WHERE isfinite(rssi)) + 0e0 AS median_rssi FROM obs GROUP BY ALL")
 def a13(spark, d):
-    return observations(spark, d).groupBy("endpoint", "observer_id").agg((F.median(finite("snr")) + 0.0).alias("median_snr"), (F.median(finite("rssi")) + 0.0).alias("median_rssi"))
+    return observations(spark, d, "observer_id", "snr", "rssi").groupBy("endpoint", "observer_id").agg((F.median(finite("snr")) + 0.0).alias("median_snr"), (F.median(finite("rssi")) + 0.0).alias("median_rssi"))
 
 
 @query("a15_reception_totals", _CTE + "SELECT endpoint, count(*) AS receptions, count(DISTINCT packet_id) AS packets FROM obs GROUP BY endpoint")
@@ -275,7 +277,7 @@ def p15(spark, d):
   SELECT endpoint, packet_id, observation_key, lh AS last_hop, observer_id, zero_hop, CASE WHEN rssi < 0 THEN rssi END AS rssi FROM h WHERE lh <> observer_id""")
 def p16(spark, d):
     """The store's view of receptions: last hop, zero hop, and rssi where below 0."""
-    o = observations(spark, d)
+    o = observations(spark, d, "observer_id", "sender_pubkey", "path_prefixes", "resolved_path", "direction", "rssi")
     prefixes = F.json_array_length("path_prefixes")
     path = F.from_json("resolved_path", "array<string>")
     last = F.when(prefixes == 0, F.col("sender_pubkey")).otherwise(F.try_element_at(path, F.lit(-1)))
@@ -316,13 +318,14 @@ def f33(spark, d):
     return p.select("id", at("$.name").alias("name"), at("$.lat").try_cast("double").alias("lat"), F.coalesce(at("$.flags.raw"), at("$.flags")).try_cast("double").alias("flags"))
 
 
-@query("w11_descending_pages", """SELECT endpoint, count(*) AS packets, count(*) FILTER (WHERE before IS NULL OR before > id) AS in_order
-  FROM (SELECT endpoint, id, lag(id) OVER (PARTITION BY endpoint, id // 1000000 ORDER BY id DESC) AS before FROM (SELECT DISTINCT endpoint, id FROM packets)) GROUP BY endpoint""")
+@query("w11_descending_pages", """SELECT endpoint, count(*) AS packets, count(*) FILTER (WHERE coalesce(len(list_filter(range(1, len(ids)), lambda i: ids[i] >= ids[i + 1])), 0) = 0) AS in_order
+  FROM (SELECT DISTINCT endpoint, id, list_transform(observations, lambda o: o.id) AS ids FROM packets) GROUP BY endpoint""")
 def w11(spark, d):
-    """Packets come in strictly descending ids; checked page by page, a page being a range of ids."""
-    w = Window.partitionBy("endpoint", F.expr("id div 1000000")).orderBy(F.desc("id"))
-    p = load(spark, d, "packets").select("endpoint", "id").distinct().withColumn("before", F.lag("id").over(w))
-    return p.groupBy("endpoint").agg(F.count("*").alias("packets"), F.count_if(F.col("before").isNull() | (F.col("before") > F.col("id"))).alias("in_order"))
+    """Whether a packet's receptions come in strictly rising ids, as the list stands; without ids there is nothing amiss."""
+    p = load(spark, d, "packets").select("endpoint", "id", F.transform("observations", lambda o: o["id"]).alias("ids")).distinct()
+    later = F.slice("ids", F.lit(2), F.greatest(F.size("ids") - 1, F.lit(0)))
+    wrong = F.exists(F.zip_with(F.slice("ids", F.lit(1), F.greatest(F.size("ids") - 1, F.lit(0))), later, lambda a, b: F.coalesce(a >= b, F.lit(False))), lambda x: x)
+    return p.groupBy("endpoint").agg(F.count("*").alias("packets"), F.count_if(~F.coalesce(wrong, F.lit(False))).alias("in_order"))
 
 
 @query("f28_freshness", """SELECT run_id, k, CASE WHEN h < 48 THEN h || ' h' ELSE h // 24 || ' d' END AS freshness FROM (

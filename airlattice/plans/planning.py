@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from airlattice.functions import rf
-from airlattice.operators.planner import canonical_json, scrub
+from airlattice.operators import links, routes
+from airlattice.operators.graph import Graph
+from airlattice.operators.planner import alternative_id, canonical_json, scrub
 from airlattice.plans import coverage, radio
 from airlattice.plans.registry import Registry
 from airlattice.tables import load
@@ -56,11 +58,15 @@ def pp9(spark, d):
     return k.select("job_id", "source_id", "kind", F.row_number().over(w.orderBy("num", "source_id")).cast("int").alias("place"))
 
 
-@query("pp10_height_overrides", _C + _SRC + ", o AS (SELECT source_id, max(two_way_margin_db) AS h FROM e WHERE valid_two_way GROUP BY source_id) SELECT s.job_id, s.source_id, greatest(0.1e0, least(500e0, coalesce(o.h, 3e0))) AS height_m FROM src s LEFT JOIN o USING (source_id)")
+@query("pp10_height_overrides", _C + _SRC + """, o AS (SELECT DISTINCT num, CAST((num * 131) % 700 AS DOUBLE) AS h FROM src WHERE num % 2 = 0)
+  SELECT s.job_id, s.source_id, CASE WHEN s.num % 3 = 0 THEN 1.5e0 ELSE coalesce(greatest(0.1e0, least(500e0, o.h)), CAST(3 + (s.num % 5) * 4 AS DOUBLE)) END AS height_m FROM src s LEFT JOIN o USING (num)""")
 def pp10(spark, d):
-    o = coverage.entries(spark, d).filter("valid_two_way").groupBy("source_id").agg(F.max("two_way_margin_db").alias("h"))
-    h = F.greatest(F.lit(0.1), F.least(F.lit(500.0), F.coalesce("h", F.lit(3.0))))
-    return job_sources(spark, d).join(o, "source_id", "left").select("job_id", "source_id", h.alias("height_m"))
+    """Heights of sources: a router's override where there is one, kept within 0.1 to 500 m, else its own; a client's stays."""
+    s = job_sources(spark, d)
+    o = s.filter("num % 2 = 0").select("num", ((F.col("num") * 131) % 700).cast("double").alias("h")).distinct()
+    own = (F.lit(3) + (F.col("num") % 5) * 4).cast("double")
+    h = F.when(F.col("num") % 3 == 0, 1.5).otherwise(F.coalesce(F.greatest(F.lit(0.1), F.least(F.lit(500.0), "h")), own))
+    return s.join(o, "num", "left").select("job_id", "source_id", h.alias("height_m"))
 
 
 @query("pp12_plausible_pairs", f"WITH {radio._LINKS} SELECT link_id, d > 0 AND d <= 8000 AND 22.0e0 + 2.15e0 - 1.0e0 - {radio._FSPL.format('greatest(d, 1e-3)')} + 2.15e0 - 1.0e0 + 130.0e0 - 10.0e0 >= 35 AS plausible FROM n")
@@ -92,7 +98,7 @@ def f13(spark, d):
     return g.select("link_id", q4(F.col("z") + F.col("ah")).alias("elevation_m"))
 
 
-@query("f17_sample_points", f"WITH {radio._LINKS}, s AS (SELECT *, unnest(range(n)) AS i FROM n WHERE n <= 60 AND d > 0), t AS (SELECT *, CASE WHEN i = n - 1 THEN d ELSE i * (d / (n - 1)) END AS di FROM s) SELECT link_id, CAST(i AS INT) AS i, {radio._Q4.format('ax + di / d * (bx - ax)')} AS px, {radio._Q4.format('ay + di / d * (by - ay)')} AS py FROM t")
+@query("f17_sample_points", f"WITH {radio._LINKS}, s AS (SELECT *, unnest(range(n)) AS i FROM n WHERE n <= 4096 AND d > 0), t AS (SELECT *, CASE WHEN i = n - 1 THEN d ELSE i * (d / (n - 1)) END AS di FROM s) SELECT link_id, CAST(i AS INT) AS i, {radio._Q4.format('ax + di / d * (bx - ax)')} AS px, {radio._Q4.format('ay + di / d * (by - ay)')} AS py FROM t")
 def f17(spark, d):
     s = radio.links.profile_samples(radio.with_length(spark, d).filter((F.col("n") <= radio.RADIO.max_samples) & (F.col("d") > 0)), radio.RADIO, radio.RES)
     return s.select("link_id", "i", q4(F.col("px")).alias("px"), q4(F.col("py")).alias("py"))
@@ -185,13 +191,6 @@ def t7(spark, d):
     return load(spark, d, "capture_runs").distinct().filter("ended_at is not null").orderBy(F.desc("ended_at"), F.desc("id")).limit(100).select("id", "endpoint", "mode", "ended_at")
 
 
-@query("t8_run_order", "SELECT endpoint, mode, status, count(*) AS runs, CAST(sum(requests) AS BIGINT) AS requests FROM (SELECT DISTINCT * FROM capture_runs) GROUP BY endpoint, mode, status ORDER BY (CASE WHEN status = 'complete' THEN 0 ELSE 1 END), runs DESC, requests, endpoint, mode")
-def t8(spark, d):
-    """Clear before not, then most, then least cost, then ids: the order of representative paths, over runs."""
-    g = load(spark, d, "capture_runs").distinct().groupBy("endpoint", "mode", "status").agg(F.count("*").alias("runs"), F.sum("requests").cast("bigint").alias("requests"))
-    return g.orderBy((F.col("status") == "complete").desc(), F.desc("runs"), "requests", "endpoint", "mode")
-
-
 @query("f45_run_summary", "SELECT DISTINCT id, endpoint, coalesce(server_version, 'unknown') AS version, coalesce(capped, false) AS capped, coalesce(json_array_length(errors_json), 0) AS errors FROM capture_runs")
 def f45(spark, d):
     return load(spark, d, "capture_runs").select("id", "endpoint", F.coalesce("server_version", F.lit("unknown")).alias("version"), F.coalesce("capped", F.lit(False)).alias("capped"), F.coalesce(F.json_array_length("errors_json"), F.lit(0)).alias("errors")).distinct()
@@ -202,10 +201,13 @@ def f40(spark, d):
     return load(spark, d, "capture_runs").filter("requests is not null").select("id", F.format_number(F.col("requests") * 12345, 0).alias("shown")).distinct()
 
 
-@query("f37_alternative_ids", _C + " SELECT job_id, left(sha256(string_agg(source_id, '>' ORDER BY source_id)), 16) AS alternative FROM (SELECT DISTINCT job_id, source_id FROM e) GROUP BY job_id")
+@query("f37_alternative_ids", _C + """, l AS (SELECT job_id, list_sort(list(DISTINCT source_id)) AS s FROM e GROUP BY job_id), q AS (SELECT job_id, '"' || array_to_string(s, '","') || '"' AS path, CASE WHEN len(s) > 2 THEN '"' || array_to_string(s[2:len(s) - 1], '","') || '"' ELSE '' END AS routers FROM l)
+  SELECT job_id, left(sha256('alternative' || chr(0) || '{"paths":[[' || path || ']],"routers":[' || routers || ']}'), 16) AS alternative FROM q""")
 def f37(spark, d):
-    ids = job_sources(spark, d).groupBy("job_id").agg(F.array_join(F.array_sort(F.collect_set("source_id")), ">").alias("s"))
-    return ids.select("job_id", F.substring(F.sha2("s", 256), 1, 16).alias("alternative"))
+    """The id of a run's sources taken as one path, the inner ones its routers: the fingerprint's first 16 digits."""
+    ids = job_sources(spark, d).groupBy("job_id").agg(F.array_sort(F.collect_set("source_id")).alias("s"))
+    text = F.to_json(F.struct(F.array("s").alias("paths"), F.slice("s", F.lit(2), F.greatest(F.size("s") - 2, F.lit(0))).alias("routers")))
+    return ids.select("job_id", F.substring(F.sha2(F.concat(F.lit("alternative\0"), text), 256), 1, 16).alias("alternative"))
 
 
 @query("f31_path_prefixes", """SELECT packet_id, observation_key, CAST(json_array_length(path_prefixes) AS INT) AS hops, regexp_full_match(path_prefixes, '\\[(\\s*(null|"([0-9a-fA-F]{2}){1,3}")\\s*,?)*\\]') AS well_formed
@@ -237,20 +239,18 @@ def u3(spark, d):
     return t.select("scenario", F.size(F.array_intersect("n", "o")).alias("kept"), F.size(F.array_except("n", "o")).alias("fresh"), F.size(F.array_except("o", "n")).alias("dropped"))
 
 
-@query("c6_run_compatibility", _C + coverage._STEPS + """, g AS (SELECT job_id, count(*) AS n, min(x) AS w, max(x) AS e_, min(y) AS s, max(y) AS n_ FROM cells GROUP BY job_id)
-  SELECT t.scenario, CASE WHEN a.n <> b.n THEN 'cells' WHEN a.w <> b.w OR a.e_ <> b.e_ OR a.s <> b.s OR a.n_ <> b.n_ THEN 'bounds' ELSE 'none' END AS mismatch FROM steps t JOIN g a ON a.job_id = t.baseline JOIN g b ON b.job_id = t.scenario""")
+@query("c6_run_compatibility", _C + coverage._STEPS + coverage._FOOT + """, g AS (SELECT job_id, count(*) AS n, any_value(w_) AS w, any_value(e_) AS e_, any_value(s_) AS s, any_value(n_) AS n_, any_value(h) AS h, count(*) FILTER (WHERE state = 'not_evaluated') AS open_ FROM foot GROUP BY job_id)
+  SELECT t.scenario, CASE WHEN a.open_ > 0 OR b.open_ > 0 THEN 'incomplete' WHEN a.h <> b.h THEN 'cell size' WHEN a.w <> b.w OR a.e_ <> b.e_ OR a.s <> b.s OR a.n_ <> b.n_ THEN 'bounds' WHEN a.n <> b.n THEN 'cells' ELSE 'none' END AS mismatch
+  FROM steps t JOIN g a ON a.job_id = t.baseline JOIN g b ON b.job_id = t.scenario""")
 def c6(spark, d):
     """Why two runs can't be compared cell by cell: the first reason that holds."""
-    g = coverage.cells(spark, d).groupBy("job_id").agg(F.count("*").alias("n"), F.struct(F.min("x"), F.max("x"), F.min("y"), F.max("y")).alias("b"))
-    side = lambda c, p: g.select(F.col("job_id").alias(c), F.col("n").alias(p + "n"), F.col("b").alias(p + "b"))
+    f = coverage.footprints(spark, d)
+    g = f.groupBy("job_id").agg(F.struct(F.count_if(F.col("state") == "not_evaluated").alias("open"), F.first("h").alias("h"), F.struct(*(F.first(c).alias(c) for c in "wesn")).alias("b"), F.count("*").alias("n")).alias("g"))
+    side = lambda c, p: g.select(F.col("job_id").alias(c), F.col("g").alias(p))
     t = coverage.run_steps(spark, d).join(side("baseline", "o"), "baseline").join(side("scenario", "s"), "scenario")
-    return t.select("scenario", F.when(F.col("on") != F.col("sn"), "cells").when(F.col("ob") != F.col("sb"), "bounds").otherwise("none").alias("mismatch"))
-
-
-@query("c10_reusable_runs", _C + ", f AS (SELECT endpoint, job_id, count(*) AS n, min(x) AS w, max(y) AS n_ FROM cells GROUP BY ALL) SELECT endpoint, n, w, n_, min(job_id) AS reuse, count(*) AS runs FROM f GROUP BY endpoint, n, w, n_")
-def c10(spark, d):
-    f = coverage.cells(spark, d).groupBy("endpoint", "job_id").agg(F.count("*").alias("n"), F.min("x").alias("w"), F.max("y").alias("n_"))
-    return f.groupBy("endpoint", "n", "w", "n_").agg(F.min("job_id").alias("reuse"), F.count("*").alias("runs"))
+    other = lambda c: F.col(f"o.{c}") != F.col(f"s.{c}")
+    why = F.when((F.col("o.open") > 0) | (F.col("s.open") > 0), "incomplete").when(other("h"), "cell size").when(other("b"), "bounds").when(other("n"), "cells").otherwise("none")
+    return t.select("scenario", why.alias("mismatch"))
 
 
 @query("w4_first_per_cell", _C + ", g AS (SELECT job_id, cell, CAST(floor(x / 1000e0) AS BIGINT) AS gx, CAST(floor(y / 1000e0) AS BIGINT) AS gy FROM cells) SELECT job_id, gx, gy, min(cell) AS cell FROM g GROUP BY ALL")
@@ -268,8 +268,9 @@ def w12(spark, d):
     return c.withColumn("r", F.row_number().over(w)).filter("r <= 4").select("job_id", "gx", "gy", "cell")
 
 
-@query("w8_segment_lookup", _C + """, p AS (SELECT job_id, cell, coalesce(sum(500e0) OVER (PARTITION BY job_id ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS along, count(*) OVER (PARTITION BY job_id) AS n FROM cells)
-  SELECT job_id, k AS mark, CAST(max(cell) AS BIGINT) AS cell FROM p, (SELECT unnest(range(5)) AS k) m WHERE along <= k * 1200e0 GROUP BY ALL""")
+@query("w8_segment_lookup", _C + """, o AS (SELECT job_id, cell, row_number() OVER (PARTITION BY job_id ORDER BY cell) - 1 AS i, count(*) OVER (PARTITION BY job_id) AS n FROM cells),
+  m AS (SELECT job_id, unnest(range((n - 1) * 500 // 1200 + 1)) AS mark FROM (SELECT DISTINCT job_id, n FROM o))
+  SELECT m.job_id, m.mark, CAST(o.cell AS BIGINT) AS cell FROM m JOIN o ON o.job_id = m.job_id AND o.i = m.mark * 1200 // 500""")
 def w8(spark, d):
     """The cell of a run's line that each mark, every 1.2 km from its start to its end, lies on: W7's running length, then
     the last start before. A mark is looked up by the one cell whose start and the next one's enclose it."""
@@ -361,34 +362,152 @@ def a17(spark, d):
     return sinks.thin_profile(s, 20)
 
 
-MOST_SITES = 5_000  #: a planner's graph is searched on the driver; a larger one is an error
-
-
-def source_graph(spark, d):
-    from airlattice.operators.graph import Graph
+# Routes: the sources of each endpoint are the sites of one network, at positions and heights by their numbers; the first and
+# the last by id are its ends, to be joined through the others.
+ROUTE_NEIGHBOURS, ROUTE_MAX_M = 16, 8_000.0
 
-    rows = coverage.shared_cell_edges(spark, d).limit(MOST_SITES * 64 + 1).collect()
-    g = Graph(sorted((r.a, r.b, r.w) for r in rows))
-    if len(rows) > MOST_SITES * 64 or len(g.near) > MOST_SITES:
-        raise ValueError("the graph is beyond a planner's bound")
-    return g, min(g.near, default=None), max((n for n in g.near if n[:5] == min(g.near)[:5]), default=None) if g.near else None
 
-
-def path_rows(spark, paths):
-    return spark.createDataFrame([(k, i, n) for k, p in enumerate(paths) for i, n in enumerate(p)], "path int, place int, id string")
-
-
-for _name, _find in {
-    "g3_hop_path": lambda g, s, t: [p] if (p := g.hop_path(s, t)) else [], "g4_reliability_path": lambda g, s, t: [p] if (p := g.reliability_path(s, t)) else [],
-    "g5_installation_path": lambda g, s, t: [p] if (p := g.installation_path(s, t)) else [], "g6_infrastructure_path": lambda g, s, t: [p] if (p := g.infrastructure_path(s, t, lambda a, b: 1.0)) else [],
-    "g7_disjoint_paths": lambda g, s, t: g.disjoint_paths(s, t), "g8_k_shortest": lambda g, s, t: g.k_shortest(s, t, 8),
-    "g11_bounded_margin": lambda g, s, t: g.bounded_margin_paths(s, t, 4), "g13_steiner": lambda g, s, t: [sorted(g.steiner([s, t]))],
-}.items():
-
-    @query(_name)
-    def _(spark, d, find=_find):
-        g, s, t = source_graph(spark, d)
-        return path_rows(spark, find(g, s, t) if s is not None and s != t else [])
+def route_sites(spark, d):
+    s = coverage.entries(spark, d).select(F.col("endpoint").alias("net"), F.col("source_id").alias("id")).distinct()
+    n, k = F.substring("id", -5, 5).cast("bigint"), F.ascii(F.substring("id", 5, 1))
+    s = s.select(
+        "net", "id", ((n * 7919) % 10000 - 5000).cast("double").alias("x"), ((n * 104729) % 10000 - 5000).cast("double").alias("y"), (F.lit(60) + ((n * 2 + 3 + k) % 5) * 20).cast("double").alias("h"),
+        ((n * 37) % 8).cast("double").alias("quality"), ((n + k) % 3 == 0).alias("existing"),
+    )
+    ends = s.groupBy("net").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    return s.join(ends, "net").withColumn("terminal", F.col("id").isin(F.col("first"), F.col("last"))).drop("first", "last")
+
+
+def route_links(spark, d):
+    """Sites and certified links of all networks."""
+    from airlattice.plans import siting
+
+    sites = radio.cut(route_sites(spark, d))
+    near = siting.nearest(sites.withColumnRenamed("net", "endpoint"), ROUTE_NEIGHBOURS).withColumnRenamed("endpoint", "net")
+    pairs = radio.cut(routes.screened_pairs(sites, near, radio.RADIO, ROUTE_MAX_M))
+    return sites, radio.cut(routes.certified_links(pairs, links.tile_lattice(radio.lattice(spark, pairs)), radio.RADIO, radio.RES))
+
+
+_PAIRS = """
+  e0 AS (SELECT DISTINCT endpoint AS net, s.source_id AS id FROM (SELECT endpoint, unnest(sources) AS s FROM coverage) WHERE s.source_id <> ''),
+  e1 AS (SELECT *, CAST(right(id, 5) AS BIGINT) AS num, ascii(substr(id, 5, 1)) AS k FROM e0),
+  si AS (SELECT net, id, CAST((num * 7919) % 10000 - 5000 AS DOUBLE) AS x, CAST((num * 104729) % 10000 - 5000 AS DOUBLE) AS y, CAST(60 + ((num * 2 + 3 + k) % 5) * 20 AS DOUBLE) AS h, CAST((num * 37) % 8 AS DOUBLE) AS quality,
+         (num + k) % 3 = 0 AS existing, id IN (min(id) OVER (PARTITION BY net), max(id) OVER (PARTITION BY net)) AS terminal FROM e1),
+  kn AS (SELECT a.net, a.id AS a, b.id AS b, a.terminal FROM si a JOIN si b ON a.net = b.net AND a.id <> b.id
+         QUALIFY a.terminal OR row_number() OVER (PARTITION BY a.net, a.id ORDER BY (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y), b.id) <= 16),
+  pq AS (SELECT DISTINCT net, least(a, b) AS a, greatest(a, b) AS b FROM kn),
+  l AS (SELECT pq.net AS job_id, pq.b AS cell, pq.a AS source_id, pq.net || chr(9) || pq.a || chr(9) || pq.b AS link_id, p.x AS ax, p.y AS ay, p.h AS ah, q.x AS bx, q.y AS by, q.h AS bh, 0 AS route_order
+        FROM pq JOIN si p ON p.net = pq.net AND p.id = pq.a JOIN si q ON q.net = pq.net AND q.id = pq.b),
+  d AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)) AS d FROM l),
+  n AS (SELECT *, greatest(CAST(ceil(d / 200e0) AS INT) + 1, 3) AS n FROM d WHERE d > 0 AND d <= 8000 AND 22.0e0 + 2.15e0 - 1.0e0 - """ + radio._FSPL.format("d") + """ + 2.15e0 - 1.0e0 + 130.0e0 - 10.0e0 >= 0)"""
+_NET = f"""WITH RECURSIVE {radio.evaluated_sql(_PAIRS, 22.0, 22.0)},
+  ok AS MATERIALIZED (SELECT job_id AS net, source_id AS a, cell AS b, two_way AS w, clearance >= 0 AND ratio >= 0.6e0 AS clear, ratio AS fresnel, d AS metres FROM ev WHERE state IS NULL AND valid),
+  u AS MATERIALIZED (SELECT * FROM ok UNION ALL SELECT net, b, a, w, clear, fresnel, metres FROM ok)"""
+# Every path without a loop, of networks of a few sites: the searches' results are the first ones in their order.
+_PATHS = """,
+  ts AS (SELECT net, min(id) AS s, max(id) AS t FROM si GROUP BY net HAVING count(*) > 1),
+  pa AS (SELECT net, [s] AS p, s AS here, t, 0 AS hops, true AS clear, CAST('inf' AS DOUBLE) AS margin, CAST('inf' AS DOUBLE) AS fresnel, 0e0 AS height, 0e0 AS quality, 0e0 AS metres, 0 AS fresh, 0 AS routers, 0 AS blocked, 0e0 AS cost FROM ts
+    UNION ALL SELECT pa.net, list_append(p, u.b), u.b, t, hops + 1, pa.clear AND u.clear, least(margin, u.w), least(pa.fresnel, u.fresnel), height + CASE WHEN u.b = t THEN 0 ELSE h END, pa.quality + si.quality, pa.metres + u.metres,
+      fresh + CASE WHEN u.b = t OR existing THEN 0 ELSE 1 END, routers + CASE WHEN u.b = t THEN 0 ELSE 1 END, blocked + CASE WHEN u.clear THEN 0 ELSE 1 END, cost + CASE WHEN u.b = t THEN 0 ELSE 100 + h END + u.metres / 1e6
+      FROM pa JOIN u ON u.net = pa.net AND u.a = pa.here JOIN si ON si.net = u.net AND si.id = u.b WHERE here <> t AND NOT list_contains(p, u.b)),
+  fu AS (SELECT * FROM pa WHERE here = t)"""
+_FINE = "clear DESC, margin DESC, fresnel DESC, height, quality DESC, metres, p"
+_ORDERS = {
+    "hops": f"hops, {_FINE}", "reliability": f"clear DESC, margin DESC, hops, {_FINE}", "installations": f"fresh, routers, hops, {_FINE}", "infrastructure": "cost, p",
+}
+_SEARCHES = {"hops": Graph.hop_path, "reliability": Graph.reliability_path, "installations": Graph.installation_path, "infrastructure": Graph.infrastructure_path}
+
+
+def _places(paths):
+    return [[k, i, n] for k, p in enumerate(paths) for i, n in enumerate(p)]
+
+
+for _name, _priority in {"g3_hop_path": "hops", "g4_reliability_path": "reliability", "g5_installation_path": "installations", "g6_infrastructure_path": "infrastructure"}.items():
+
+    @query(_name, f"{_NET}{_PATHS}, be AS (SELECT net, p FROM fu QUALIFY row_number() OVER (PARTITION BY net ORDER BY {_ORDERS[_priority]}) = 1) SELECT net, 0 AS path, CAST(generate_subscripts(p, 1) - 1 AS INT) AS place, unnest(p) AS id FROM be")
+    def _(spark, d, find=_SEARCHES[_priority]):
+        return routes.searched(*route_links(spark, d), lambda g, s, t: _places([p] if (p := find(g, s, t)) else []), "path int, place int, id string")
+
+
+@query("g8_k_shortest", f"{_NET}{_PATHS}, be AS (SELECT net, p, row_number() OVER (PARTITION BY net ORDER BY hops, p) - 1 AS k FROM fu QUALIFY k < 8) SELECT net, CAST(k AS INT) AS path, CAST(generate_subscripts(p, 1) - 1 AS INT) AS place, unnest(p) AS id FROM be")
+def g8(spark, d):
+    return routes.searched(*route_links(spark, d), lambda g, s, t: _places(g.k_shortest(s, t, 8)), "path int, place int, id string")
+
+
+@query("t8_representative_paths", f"{_NET}{_PATHS}, be AS (SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY net ORDER BY hops, p) <= 8) SELECT net, CAST(row_number() OVER (PARTITION BY net ORDER BY clear DESC, margin DESC, hops, p) AS INT) AS place, array_to_string(p, '>') AS route FROM be")
+def t8(spark, d):
+    """A network's shortest paths in the order in which they stand for it: clear ones, the best bottleneck, fewest hops, ids."""
+
+    def search(g, s, t):
+        found = sorted(g.k_shortest(s, t, 8), key=lambda p: (not g.is_clear(p), -g.bottleneck(p), len(p), p))
+        return [[i, ">".join(p)] for i, p in enumerate(found, 1)]
+
+    return routes.searched(*route_links(spark, d), search, "place int, route string")
+
+
+@query("g7_disjoint_paths")
+def g7(spark, d):
+    return routes.searched(*route_links(spark, d), lambda g, s, t: _places(g.disjoint_paths(s, t)), "path int, place int, id string")
+
+
+@query("g11_bounded_margin", f"{_NET}{_PATHS}, b AS (SELECT net, unnest([1, 2, 3, 4]) AS most FROM ts) SELECT b.net, b.most AS max_hops, {radio._Q4.format('max(margin)')} AS margin_db FROM b JOIN fu ON fu.net = b.net AND fu.hops <= b.most GROUP BY b.net, b.most")
+def g11(spark, d):
+    """The widest margin of a path of so many hops at most."""
+
+    def search(g, s, t):
+        best = {}
+        for p in g.bounded_margin_paths(s, t, 4):
+            for k in range(len(p) - 1, 5):
+                best[k] = max(best.get(k, float("-inf")), g.bottleneck(p))
+        return [[k, m] for k, m in sorted(best.items())]
+
+    return routes.searched(*route_links(spark, d), search, "max_hops int, margin_db double").withColumn("margin_db", q4(F.col("margin_db")))
+
+
+@query("g13_steiner")
+def g13(spark, d):
+    return routes.searched(*route_links(spark, d), lambda g, s, t: [[n] for n in sorted(g.steiner([s, t]))] if g.hop_path(s, t) else [], "id string")
+
+
+@query("a24_route_solutions", f"""{_NET}{_PATHS}, pr AS (""" + " UNION ALL ".join(
+    f"(SELECT '{k}' AS priority, * FROM fu QUALIFY row_number() OVER (PARTITION BY net ORDER BY {v}) = 1)" for k, v in _ORDERS.items()) + f""")
+  SELECT net, priority, hops, fresh, blocked, {radio._Q4.format('margin')} AS margin_db, {radio._Q4.format('fresnel')} AS fresnel_ratio, {radio._Q4.format('metres')} AS metres,
+    left(sha256('alternative' || chr(0) || '{{"paths":[["' || array_to_string(p, '","') || '"]],"routers":[' || CASE WHEN len(p) > 2 THEN '"' || array_to_string(list_sort(p[2:len(p) - 1]), '","') || '"' ELSE '' END || ']}}'), 16) AS alternative FROM pr""")
+def a24(spark, d):
+    """C3's route job as rows: of each network and priority the certified route, with its counts, bottlenecks, length (A10, A11,
+    A12, A24) and the alternative's id over its paths and routers (F35, F36, F37)."""
+
+    def search(g, s, t):
+        out = []
+        for priority, find in _SEARCHES.items():
+            if p := find(g, s, t):
+                steps = list(zip(p, p[1:]))
+                out.append([priority, len(steps), sum(not g.fact(n, "existing", False) for n in p[1:-1]), sum(not g.clear[x] for x in steps), g.bottleneck(p), min(g.fresnel[x] for x in steps), sum(g.length[x] for x in steps), alternative_id([p], p[1:-1])])
+        return out
+
+    got = routes.searched(*route_links(spark, d), search, "priority string, hops int, fresh int, blocked int, margin_db double, fresnel_ratio double, metres double, alternative string")
+    return got.withColumns({c: q4(F.col(c)) for c in ("margin_db", "fresnel_ratio", "metres")})
+
+
+@query("g18_no_route", f"""{_NET}, ts AS (SELECT net, min(id) AS s, max(id) AS t FROM si GROUP BY net HAVING count(*) > 1),
+  r AS (SELECT net, s AS id FROM ts UNION SELECT r.net, u.b FROM r JOIN u ON u.net = r.net AND u.a = r.id)
+  SELECT ts.net, (SELECT count(*) FROM pq WHERE pq.net = ts.net) AS pairs, (SELECT count(*) FROM l LEFT JOIN n USING (link_id) WHERE l.job_id = ts.net AND n.link_id IS NULL) AS out_of_reach,
+    (SELECT count(*) FROM ev WHERE job_id = ts.net AND NOT (state IS NULL AND valid)) AS refused, (SELECT count(*) FROM r WHERE r.net = ts.net) AS reached, EXISTS (SELECT 1 FROM r WHERE r.net = ts.net AND r.id = ts.t) AS joined FROM ts""")
+def g18(spark, d):
+    """Why a network's ends are not joined: pairs looked at, pairs out of reach in free space, pairs that terrain refused, and
+    the sites that its first end reaches."""
+    from airlattice.plans import siting
+
+    sites = radio.cut(route_sites(spark, d))
+    near = siting.nearest(sites.withColumnRenamed("net", "endpoint"), ROUTE_NEIGHBOURS).withColumnRenamed("endpoint", "net")
+    ends = sites.filter("terminal").select("net", F.col("id").alias("a")).join(sites.select("net", F.col("id").alias("b")), "net").filter("a <> b")
+    all_ = near.select("net", "a", "b").unionByName(ends).select("net", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().groupBy("net").agg(F.count("*").alias("pairs"))
+    pairs = radio.cut(routes.screened_pairs(sites, near, radio.RADIO, ROUTE_MAX_M))
+    held = radio.cut(routes.certified_links(pairs, links.tile_lattice(radio.lattice(spark, pairs)), radio.RADIO, radio.RES))
+    n = lambda t, c: t.groupBy("net").agg(F.count("*").alias(c))
+    got = routes.searched(sites, held, lambda g, s, t: [[len(r := g.reached(s)), t in r]], "reached bigint, joined boolean")
+    got = got.join(all_, "net", "left").join(n(pairs, "screened"), "net", "left").join(n(held, "held"), "net", "left").na.fill(0, ["pairs", "screened", "held"])
+    return got.select("net", "pairs", (F.col("pairs") - F.col("screened")).alias("out_of_reach"), (F.col("screened") - F.col("held")).alias("refused"), "reached", "joined")
 
 
 # "by" is a keyword to some parsers.

@@ -79,8 +79,10 @@ def _ground(table: str, x: str, y: str, out: str) -> str:
     )
 
 
-_EVALUATED = f"""{_LINKS},
-  ga AS ({_ground("(SELECT * FROM n WHERE n <= 60 AND d > 0)", "ax", "ay", "za")}),
+def evaluated_sql(pairs: str, tx_dbm: float = 22.0, back_dbm: float = 20.0) -> str:
+    """CTEs that end in ev: the links of n, which the CTEs of `pairs` end in, with their two-way evaluation."""
+    return f"""{pairs},
+  ga AS ({_ground("(SELECT * FROM n WHERE n <= 4096 AND d > 0)", "ax", "ay", "za")}),
   gb AS ({_ground("ga", "bx", "by", "zb")}),
   t AS (SELECT *, za + ah AS ta, zb + bh AS tb FROM gb),
   s0 AS (SELECT *, unnest(range(n)) AS i FROM t),
@@ -99,12 +101,15 @@ _EVALUATED = f"""{_LINKS},
   m3 AS (SELECT *, CASE WHEN s_tx < s_d THEN v_los ELSE (ta + s_tx * p - (ta + s_d * p)) * sqrt(2.0e0 * d / ({_WL} * p * (d - p))) END AS v FROM m2),
   m4 AS (SELECT *, CASE WHEN v <= -0.78e0 THEN 0.0e0 ELSE 6.9e0 + 20.0e0 * log10(sqrt((v - 0.1e0) * (v - 0.1e0) + 1) + v - 0.1e0) END AS j FROM m3),
   m5 AS (SELECT *, j + (1 - exp(-j / 6.0e0)) * (10.0e0 + 0.02e0 * d / 1000.0e0) AS diff FROM m4),
-  m6 AS (SELECT *, 22.0e0 + 2.15e0 - 1.0e0 - ({_FSPL.format("d")} + diff) + 2.15e0 - 1.0e0 + 130.0e0 - 10.0e0 AS fwd,
-         20.0e0 + 2.15e0 - 1.0e0 - ({_FSPL.format("d")} + diff) + 2.15e0 - 1.0e0 + 130.0e0 - 10.0e0 AS rev FROM m5 WHERE missing = 0),
-  ev AS (SELECT l.job_id, l.cell, l.source_id, l.link_id, l.route_order, l.d, l.n, CASE WHEN l.n > 60 THEN 'profile cap' WHEN l.d = 0 THEN 'coincident' WHEN m6.link_id IS NULL THEN 'missing terrain' END AS state,
+  m6 AS (SELECT *, {tx_dbm}e0 + 2.15e0 - 1.0e0 - ({_FSPL.format("d")} + diff) + 2.15e0 - 1.0e0 + 130.0e0 - 10.0e0 AS fwd,
+         {back_dbm}e0 + 2.15e0 - 1.0e0 - ({_FSPL.format("d")} + diff) + 2.15e0 - 1.0e0 + 130.0e0 - 10.0e0 AS rev FROM m5 WHERE missing = 0),
+  ev AS (SELECT l.job_id, l.cell, l.source_id, l.link_id, l.route_order, l.d, l.n, CASE WHEN l.n > 4096 THEN 'profile cap' WHEN l.d = 0 THEN 'coincident' WHEN m6.link_id IS NULL THEN 'missing terrain' END AS state,
          m6.clearance, m6.ratio, m6.radius, m6.diff, m6.fwd, m6.rev, least(m6.fwd, m6.rev) AS two_way, m6.fwd >= 0 AND m6.rev >= 0 AS valid FROM n l LEFT JOIN m6 USING (link_id))"""
 
 
+_EVALUATED = evaluated_sql(_LINKS)
+
+
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cell_links(spark, sf_dir)
     return links.evaluate(rows, links.tile_lattice(lattice(spark, rows)), RADIO, RES)
@@ -205,7 +210,7 @@ def f16(spark, d):
     return with_length(spark, d).select("link_id", F.col("n").alias("n_samples"), q4(F.col("d") / (F.col("n") - 1)).alias("spacing_m"), (F.col("n") <= GATE_SAMPLES).alias("fits"))
 
 
-@query("j20_profile_explode", f"WITH {_LINKS}, s AS (SELECT link_id, d, n, unnest(range(n)) AS i FROM n WHERE n <= 60 AND d > 0) SELECT link_id, CAST(count(*) AS BIGINT) AS samples, {_Q4.format('max(CASE WHEN i = n - 1 THEN d ELSE i * (d / (n - 1)) END)')} AS last_m FROM s GROUP BY link_id")
+@query("j20_profile_explode", f"WITH {_LINKS}, s AS (SELECT link_id, d, n, unnest(range(n)) AS i FROM n WHERE n <= 4096 AND d > 0) SELECT link_id, CAST(count(*) AS BIGINT) AS samples, {_Q4.format('max(CASE WHEN i = n - 1 THEN d ELSE i * (d / (n - 1)) END)')} AS last_m FROM s GROUP BY link_id")
 def j20(spark, d):
     s = links.profile_samples(with_length(spark, d).filter((F.col("n") <= RADIO.max_samples) & (F.col("d") > 0)), RADIO, RES)
     return s.groupBy("link_id").agg(F.count("*").alias("samples"), q4(F.max("di")).alias("last_m"))

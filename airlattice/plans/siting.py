@@ -153,11 +153,18 @@ def a26(spark, d):
     return m.select("endpoint", "n", q3(angle).alias("angle_rad"))
 
 
-@query("pp13_site_policy", _S + ", k AS (SELECT DISTINCT endpoint, lower(pubkey) AS id FROM nodes_snapshot JOIN capture_runs ON id = run_id) SELECT s.endpoint, count(*) AS sites, count(*) FILTER (WHERE s.z >= 250) AS eligible FROM s JOIN k ON k.endpoint = s.endpoint AND k.id = s.id GROUP BY s.endpoint")
+_POLICY = """, po AS (SELECT endpoint, id, z % 5 <> 0 AS enabled, CASE z % 3 WHEN 0 THEN 'optional' WHEN 1 THEN 'required' ELSE 'excluded' END AS policy, z % 2 = 0 AS known FROM s)"""
+
+
+@query("pp13_site_policy", _S + _POLICY + """, m AS (SELECT *, unnest(['all', 'proposed_only', 'existing_only']) AS mode FROM po WHERE enabled AND policy <> 'excluded')
+  SELECT endpoint, mode, id, policy = 'required' AS required FROM m WHERE mode = 'all' OR (mode = 'existing_only') = known""")
 def p13(spark, d):
-    runs = load(spark, d, "capture_runs").select(F.col("id").alias("run_id"), "endpoint")
-    k = load(spark, d, "nodes_snapshot").join(runs, "run_id").select("endpoint", F.lower("pubkey").alias("id"))
-    return sites(spark, d).join(k, ["endpoint", "id"], "left_semi").groupBy("endpoint").agg(F.count("*").alias("sites"), F.count_if(F.col("z") >= 250).alias("eligible"))
+    """The sites that each mode of a search may use: enabled and not excluded; all, proposed ones only, or existing ones only.
+    What is enabled, excluded, required and known is drawn from a site's height."""
+    policy = F.when(F.col("z") % 3 == 0, "optional").when(F.col("z") % 3 == 1, "required").otherwise("excluded")
+    s = sites(spark, d).select("endpoint", "id", policy.alias("policy"), (F.col("z") % 5 != 0).alias("enabled"), (F.col("z") % 2 == 0).alias("known"))
+    s = s.filter("enabled and policy <> 'excluded'").withColumn("mode", F.explode(F.array(*map(F.lit, ("all", "proposed_only", "existing_only")))))
+    return s.filter("mode = 'all' or (mode = 'existing_only') = known").select("endpoint", "mode", "id", (F.col("policy") == "required").alias("required"))
 
 
 @query("f23_utm_zone", mesh._CTE + " SELECT endpoint, pubkey, lat, lon, CASE WHEN z = 34 THEN 33 ELSE z END AS zone FROM (SELECT *, CAST(least(greatest(floor((lon + 180) / 6) + 1, 31), 36) AS INT) AS z FROM nodes WHERE lon IS NOT NULL)")
