@@ -1,14 +1,19 @@
 """Evaluation texts inside training texts: a join of word shingles, verified over item-sized windows.
 
-One pass over the corpus keeps, of each document, the shingles it shares with any item and the words about them. From
-there on all is joins on small tables: a document that shares a shingle with an item and has words enough about its shared
-ones is a candidate, and its words are aligned with the item's. A case has at least one whole stretch and so one shingle;
-it need not have more, as stretches beside slips may be shorter than a shingle and an item may repeat its shingles.
+One pass over the corpus keeps, of each document, the shingles it shares with any item and the words about them; from there
+on all is small. The shared shingles are counted, each item's are ordered by rarity, and a document is a candidate for an
+item if it shares one of the item's necessary prefix: all but the least_shared - 1 most common ones, since a case shares
+least_shared at the least. Of the candidates, the length bound drops those with too few words about their shared shingles,
+the positional bound those whose shared pairs of words stand in too small a part of the item, and the rest are aligned. The
+items of a block, which has BLOCK_WORDS words at the most, go to the tasks that hold the documents: no shingle, however
+common, is the key of a shuffle.
 
 A case: at least half of an item's words stand in the document in the item's order, in unbroken stretches of at least
-MIN_STRETCH words; one to three words between two stretches that stand as close in the item are slips and count. Null and
-empty texts match nothing; an item of fewer words than a shingle is compared by its words alone, as one stretch. Repeated
-rows give one row.
+MIN_STRETCH words; one to three words between two stretches that stand as close in the item are slips and count. So a case
+is sure of one whole stretch, of MIN_STRETCH - SHINGLE + 1 shingles; beside slips the stretches may be shorter than a shingle,
+and an item may repeat its shingles. With both at five words that is one shingle, and the necessary prefix is all shingles;
+even for halves without any slip it could not be less than half of them. Null and empty texts match nothing; an item of fewer
+words than a shingle is compared by its words alone, as one stretch. Repeated rows give one row.
 """
 
 from __future__ import annotations
@@ -16,9 +21,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlattice.llm import words as W
@@ -145,38 +149,86 @@ def covered(doc: np.ndarray, item: np.ndarray) -> int:
     return top
 
 
-def _verify(items: dict[int, np.ndarray]):
-    """Batches of (item_id, doc_id, words) with the share of the item that stands in the document."""
+def least_shared(n_words: int) -> int:
+    """Shingles that a document shares with an item of so many words, if it is a case: those of one whole stretch."""
+    return max(1, min(MIN_STRETCH, n_words) - _shingle_size(n_words) + 1)
 
-    def run(batches: Iterable[pd.DataFrame]):
-        for t in batches:
-            share = [covered(np.asarray(d, np.int64).view(np.uint64), items[i]) / max(len(items[i]), 1) for i, d in zip(t.item_id, t.words, strict=True)]
-            t = t.assign(share=np.array(share, float))
-            yield t.loc[t.share >= HALF, ["item_id", "doc_id", "share"]]
+
+def _pairs(words: np.ndarray) -> np.ndarray:
+    return W.shingles(words, min(NEAR_STRETCH, len(words)))
+
+
+def positional_bound(doc_pairs: np.ndarray, item: np.ndarray) -> int:
+    """Words of the item that can be covered at most. doc_pairs: the document's NEAR_STRETCH words in a row, sorted. Every
+    stretch is made of such that the document has, and what counts beside them are slips, MAX_SLIP words on a side."""
+    own = _pairs(item)
+    if not len(doc_pairs):
+        return 0
+    at = np.flatnonzero(doc_pairs[np.minimum(np.searchsorted(doc_pairs, own), len(doc_pairs) - 1)] == own)
+    if not len(at):
+        return 0
+    return int(W._between(np.maximum(at - MAX_SLIP, 0), np.minimum(at + NEAR_STRETCH - 1 + MAX_SLIP, len(item) - 1), len(item)).sum())
+
+
+class Prefixes:
+    """The items' necessary prefixes, by shingle. documents: how many documents hold a shingle."""
+
+    def __init__(self, items: dict[int, np.ndarray], documents: dict[int, int]):
+        self.items, keys, owners = items, [], []
+        for i, w in items.items():
+            s = np.unique(W.shingles(w, _shingle_size(len(w)))).view(np.int64)
+            rare = sorted(s.tolist(), key=lambda x: (documents.get(x, 0), x))
+            keep = rare[: len(rare) - min(least_shared(len(w)), len(rare)) + 1]
+            keys.append(np.array([x for x in keep if x in documents], np.int64))
+            owners.append(np.full(len(keys[-1]), i, np.int64))
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")
+        self.key, self.owner = key[order], owner[order]
+
+    def candidates(self, shared: np.ndarray) -> np.ndarray:
+        """Items with one of the shingles in their prefix."""
+        lo, hi = np.searchsorted(self.key, shared, "left"), np.searchsorted(self.key, shared, "right")
+        return np.unique(np.concatenate([self.owner[a:b] for a, b in zip(lo, hi, strict=True)] or [self.owner[:0]]))
+
+
+def _verify(prefixes: Prefixes):
+    """Batches of (doc_id, shingles, words) to (item_id, doc_id, share) of the cases."""
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for b in batches:
+            out: list[tuple[int, int, float]] = []
+            for doc, shared, words in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                doc_words = words.values.to_numpy().view(np.uint64)
+                near = len(doc_words)
+                pairs = np.sort(_pairs(doc_words))
+                for i in prefixes.candidates(shared.values.to_numpy()).tolist():
+                    item = prefixes.items[i]
+                    least = len(item) * HALF
+                    # A slip may stand for a word more than the document has there, beside stretches of NEAR_STRETCH or more.
+                    if near * (1 + 1 / NEAR_STRETCH) < least or len(item) > NEAR_STRETCH and positional_bound(pairs, item) < least:
+                        continue
+                    words_in = covered(doc_words, item)
+                    if words_in >= least:
+                        out.append((i, doc, words_in / len(item)))
+            item_id, doc_id, share = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(item_id, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(share, pa.float64())], names=["item_id", "doc_id", "share"])
 
     return run
 
 
 def _block(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
-    spark = docs.sparkSession
-    empty = spark.createDataFrame([], "item_id bigint, doc_id bigint, share double")
-    item_words = {i: w for i, w in zip(ids, _item_words(texts), strict=True) if len(w)}
-    if not item_words:
-        return empty
-    rows = [(int(i), s, len(w)) for i, w in item_words.items() for s in np.unique(W.shingles(w, _shingle_size(len(w)))).view(np.int64).tolist()]
-    item_shingles = spark.createDataFrame(pd.DataFrame(rows, columns=["item_id", "shingle", "n_words"]), "item_id bigint, shingle bigint, n_words int")
+    items = {int(i): w for i, w in zip(ids, _item_words(texts), strict=True) if len(w)}
+    if not items:
+        return docs.sparkSession.createDataFrame([], "item_id bigint, doc_id bigint, share double")
     by_size: dict[int, list[int]] = {}
-    for w in item_words.values():
+    for w in items.values():
         by_size.setdefault(_shingle_size(len(w)), []).extend(W.shingles(w, _shingle_size(len(w))).tolist())
     member = {k: Filter(np.array(v, np.uint64)) for k, v in by_size.items()}
-    span = max((len(w) for w in item_words.values()), default=1)
+    span = max((len(w) for w in items.values()), default=1)
     near = cut(docs.mapInArrow(_windows(sorted(member), member, span), "doc_id bigint, shingles array<bigint>, words array<bigint>"))
-
-    pairs = near.select("doc_id", F.size("words").alias("n_near"), F.explode("shingles").alias("shingle")).join(item_shingles, "shingle")
-    # Length bound: a slip may stand for one word more than the document has there, beside stretches of NEAR_STRETCH or more.
-    pairs = pairs.filter(F.col("n_near") * (1 + 1 / NEAR_STRETCH) >= F.col("n_words") * HALF).select("doc_id", "item_id").distinct()
-    found = pairs.join(near.select("doc_id", "words"), "doc_id").select("item_id", "doc_id", "words")
-    return found.mapInPandas(_verify(item_words), "item_id bigint, doc_id bigint, share double")
+    held = near.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))  # the block's shingles at most
+    documents = {r.shingle: r.n for r in held.toLocalIterator()}
+    return near.mapInArrow(_verify(Prefixes(items, documents)), "item_id bigint, doc_id bigint, share double")
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

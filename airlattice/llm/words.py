@@ -1,12 +1,14 @@
 """Words of many texts at once, as 64-bit hashes, straight from an Arrow buffer.
 
 A word is a run of letters and digits in lower case (ASCII and Latin-1 letters are lowered). Left out are punctuation,
-underscores, the letter of a backslash escape, markup tags and entities; a \\uXXXX escape stands for its character. A text
-that is null has no words.
+underscores, the letter of a backslash escape, markup tags and entities; a \\uXXXX escape stands for its character. What
+stands between < and > is a tag if it is short, or, at any length, if it is made like one, of a name and attributes of which
+one is quoted; likewise an entity if it is short or of letters and digits. A text that is null has no words.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,9 @@ _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _Q = np.uint64(0xD1342543DE82EF95)
 CHUNK_BYTES = 2_000_000  #: texts are taken together up to so many bytes, to stay within the processor's cache
-MAX_TAG, MAX_ENTITY = 100, 8
+SHORT_TAG, SHORT_ENTITY = 100, 8  #: up to so many bytes whatever is marked so is taken for one
+_QUOTED = re.compile(rb"""=\s*\\?["']""")
+_TAG = re.compile(rb"""<(?:!--[^<>]*--|/?[A-Za-z][\w:-]*(?:\s+[\w:@.-]+(?:\s*=\s*(?:\\?"[^"<>]*"|\\?'[^'<>]*'|[^\s"'<>=]+))?)*\s*/?)>""")
 
 _LOWER = np.zeros(256, np.uint8)
 for _c in range(256):
@@ -95,7 +99,10 @@ def _clean(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
         if len(gt):
             at = np.minimum(np.searchsorted(gt, le), len(gt) - 1)
             end, following = gt[at], np.append(le[1:], n)
-            tag = (end > le) & (end - le <= MAX_TAG) & (end < following) & _MARK[raw[np.minimum(le + 1, n - 1)]]
+            tag = (end > le) & (end < following) & _MARK[raw[np.minimum(le + 1, n - 1)]]
+            for i in np.flatnonzero(tag & (end - le > SHORT_TAG)):
+                mark = raw[le[i] : end[i] + 1].tobytes()
+                tag[i] = (_QUOTED.search(mark) or mark[1:2] == b"!") and _TAG.fullmatch(mark) is not None
             if tag.any():
                 b[_between(le[tag], end[tag], n)] = 0
     amp = np.flatnonzero(raw == 38)
@@ -103,7 +110,10 @@ def _clean(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
         semi = np.flatnonzero(raw == 59)
         if len(semi):
             end = semi[np.minimum(np.searchsorted(semi, amp), len(semi) - 1)]
-            entity = (end > amp + 1) & (end - amp <= MAX_ENTITY)
+            entity = end > amp + 1
+            for i in np.flatnonzero(entity & (end - amp > SHORT_ENTITY) & (end - amp <= 40)):
+                entity[i] = raw[amp[i] + 1 : end[i]].tobytes().isalnum()
+            entity &= end - amp <= 40  # no name of an entity is longer
             if entity.any():
                 b[_between(amp[entity], end[entity], n)] = 0
     return b, keep

@@ -219,6 +219,51 @@ def test_leaks_in_short_stretches(spark, n):
     assert sorted((x.item_id, x.doc_id) for x in leakage.leaks(df, it).collect()) == [(1, 0), (1, 2), (2, 3)]
 
 
+@pytest.mark.parametrize("every", [3, 4, 5, 6, 8, 12, 30])
+def test_leaks_at_slip_rates_against_all_pairs(spark, every):
+    """Items with one word in so many spoilt, whole or in part: what is found is what aligning all pairs finds."""
+    r = random.Random(every)
+    items = {i: sentence(r, n) for i, n in enumerate([30, 45, 60, 90, 120])}
+    spoil = lambda ws: [w if r.random() > 1 / every else w[::-1] + "q" for w in ws]
+    docs = []
+    for i, t in items.items():
+        for part in (1.0, 0.75, 0.6, 0.5, 0.4):
+            n = int(len(t) * part)
+            docs.append(" ".join(sentence(r, 60) + spoil(t[:n]) + sentence(r, 60)))
+            docs.append(" ".join(spoil(t[: n // 2]) + sentence(r, 40) + spoil(t[-(n // 2) :])))
+    words = lambda t: np.concatenate([h for _, _, h, _, _, _ in W.of_texts(pa.array([t]))])
+    want = {(i, d) for i, t in items.items() for d, text in enumerate(docs) if leakage.covered(words(text), words(" ".join(t))) >= len(t) / 2}
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    it = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id bigint, item_text string")
+    got = {(x.item_id, x.doc_id) for x in leakage.leaks(df, it).collect()}
+    assert got == want
+    if every >= 8:
+        assert len(want) >= 25
+
+
+def test_bounds_lose_nothing():
+    """The positional bound is never below what alignment covers; the prefix leaves out only what a case must exceed."""
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        item = r.integers(0, 30, r.integers(2, 40)).astype(np.uint64)
+        doc = np.concatenate([item[a : a + r.integers(1, 12)] if r.random() < 0.7 else r.integers(0, 30, 4).astype(np.uint64) for a in r.integers(0, len(item), 5)])
+        assert leakage.positional_bound(np.sort(leakage._pairs(doc)), item) >= leakage.covered(doc, item)
+    words = {1: np.arange(20).astype(np.uint64)}
+    shingles = W.shingles(words[1], 5).view(np.int64).tolist()
+    p = leakage.Prefixes(words, {s: 1 for s in shingles})
+    assert len(p.key) == len(shingles) - leakage.least_shared(20) + 1
+    assert p.candidates(np.array(sorted(shingles[:2]))).tolist() == [1] and p.candidates(np.array([5])).tolist() == []
+
+
+def test_long_tags_and_entities():
+    """A tag of any length that is made like one, and an entity by its letters; what only stands between signs stays."""
+    count = lambda t: sum(len(h) for _, _, h, _, _, _ in W.of_texts(pa.array([t])))
+    assert count('a <img src="data:image/png;base64,' + "Qx" * 500 + '" alt="x y"> b') == 2
+    assert count('a <img src=\\"' + "Qx" * 500 + '\\"> b') == 2 and count("a <!-- " + "word " * 90 + "--> b") == 2
+    assert count("if x <b and " + "word " * 90 + "> c") > 90
+    assert count("a &CounterClockwiseContourIntegral; b") == 2 and count("a & some words that go on; b") == 7
+
+
 def test_items_in_blocks(spark, monkeypatch):
     r = random.Random(4)
     items = [(i, " ".join(sentence(r, 30))) for i in range(7)]
