@@ -118,8 +118,9 @@ class RTree:
 
 
 def _place(tree: QuadTree, salts: np.ndarray, km: float):
-    """Batches of (grp, probes, id, lat, lon) to rows in leaves: shifted copies for boxes past 180, all salts of a leaf
-    for the indexed side and one of them for the probing side."""
+    """Batches of (grp, probes, id, lat, lon) to rows in leaves, with shifted copies for boxes past 180. A crowded leaf's points
+    are parted into k blocks by their ids; its tasks are the k x k pairs of a probing and an indexed block, so none holds more
+    than two blocks, however many points the leaf has."""
 
     def run(batches):
         for b in batches:
@@ -133,36 +134,42 @@ def _place(tree: QuadTree, salts: np.ndarray, km: float):
             w, s, e, n = w[item] + shift, s[item], e[item] + shift, n[item]
             at, leaf = tree.meet(w, s, e, n)
             k = salts[leaf]
-            # Rows of the indexed side, once a salt; a probing point is marked in the salt that its id draws.
-            rep = np.repeat(np.arange(len(at)), k)
-            salt = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
-            at, leaf, k = at[rep], leaf[rep], k[rep]
-            own = item[at]
-            drawn = pd.util.hash_array(np.asarray(ids.to_pandas(), dtype=object)).astype(np.uint64)[own] % k.astype(np.uint64) == salt
+            # A row of block b: in the tasks (b, j) it probes, in the tasks (i, b) it is indexed, in (b, b) both.
+            block = (pd.util.hash_array(np.asarray(ids.to_pandas(), dtype=object)).astype(np.uint64)[item[at]] % k.astype(np.uint64)).astype(np.int64)
+            copies = 2 * k - 1
+            rep = np.repeat(np.arange(len(at)), copies)
+            c = np.arange(len(rep)) - np.repeat(np.cumsum(copies) - copies, copies)
+            at, leaf, k, block = at[rep], leaf[rep], k[rep], block[rep]
+            row, other = c < k, c - k
+            i, j = np.where(row, block, other + (other >= block)), np.where(row, c, block)
+            own, salt, indexed = item[at], i * k + j, ~row | (c == block)
+            keep = indexed | probes[own]
+            at, leaf, own, salt, indexed, row = (x[keep] for x in (at, leaf, own, salt, indexed, row))
             yield pa.RecordBatch.from_arrays(
-                [grp.take(pa.array(own)), pa.array(leaf), pa.array(salt), pa.array(probes[own] & drawn), pa.array(probes[own]), ids.take(pa.array(own)),
+                [grp.take(pa.array(own)), pa.array(leaf), pa.array(salt), pa.array(probes[own] & row), pa.array(indexed), pa.array(probes[own]), ids.take(pa.array(own)),
                  *(pa.array(x[own]) for x in (lat, lon)), *(pa.array(x[at]) for x in (w, s, e, n))],
-                names=["grp", "leaf", "salt", "probing", "is_node", "id", "lat", "lon", "w", "s", "e", "n"],
+                names=["grp", "leaf", "salt", "probing", "indexed", "is_node", "id", "lat", "lon", "w", "s", "e", "n"],
             )
 
     return run
 
 
-_PLACED = "grp string, leaf bigint, salt bigint, probing boolean, is_node boolean, id string, lat double, lon double, w double, s double, e double, n double"
+_PLACED = "grp string, leaf bigint, salt bigint, probing boolean, indexed boolean, is_node boolean, id string, lat double, lon double, w double, s double, e double, n double"
 
 
 def _pairs_in_leaf(tree: QuadTree, km: float):
     def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         boxes = t[["w", "s", "e", "n"]].to_numpy()
         probing = np.flatnonzero(t.probing.to_numpy())
-        rt, leaf = RTree(boxes), tree.box[key[1]]
+        held = np.flatnonzero(t.indexed.to_numpy())
+        rt, leaf = RTree(boxes[held]), tree.box[key[1]]
         ids, node = t.id.to_numpy(object), t.is_node.to_numpy()
         lat, lon = t.lat.to_numpy(), t.lon.to_numpy()
         out = []
         for start in range(0, len(probing), 2048):
             chunk = probing[start : start + 2048]
             q, i = rt.probe(boxes[chunk])
-            q = chunk[q]
+            q, i = chunk[q], held[i]
             x, y = np.maximum(boxes[q, 0], boxes[i, 0]), np.maximum(boxes[q, 1], boxes[i, 1])
             here = (x >= leaf[0]) & (x < leaf[2]) & (y >= leaf[1]) & ((y < leaf[3]) | (leaf[3] == 90))
             here |= ((x < -180) & (leaf[0] == -180) | (y < -90) & (leaf[1] == -90)) & (x < leaf[2]) & (y < leaf[3]) & (x >= -180)
