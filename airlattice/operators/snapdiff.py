@@ -82,50 +82,49 @@ def peel(cell: np.ndarray, count: np.ndarray, keys: np.ndarray, digests: np.ndar
     return cat(out_k), cat(out_s), done
 
 
-def _tables(elements: DataFrame, pairs: DataFrame, third: int) -> DataFrame:
-    """The subtracted tables' cells: for each pair and bucket, later minus earlier snapshot, without those at zero."""
-    part = lambda j: F.pmod(F.shiftrightunsigned("e", 21 * j).bitwiseAND(F.lit((1 << 21) - 1)), F.lit(third)) + j * third
-    cells = elements.withColumn("cell", F.explode(F.array(*(part(j) for j in range(HASHES)))))
-    per_run = cells.groupBy("run_id", "bucket", "cell").agg(
-        F.count("*").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("d").alias("d"), F.bit_xor("e").alias("c")
-    )
-    signed = per_run.join(pairs, "run_id")
-    return (
-        signed.groupBy("pair", "bucket", "cell")
-        .agg(F.sum(F.col("n") * F.col("sign")).alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("d").alias("d"), F.bit_xor("c").alias("c"))
-        .filter("n != 0 or k != 0 or d != 0 or c != 0")
-    )
-
-
-def _peeled(cells: DataFrame, third: int) -> DataFrame:
-    """(pair, bucket, k): the differing key hashes; for a bucket that failed one row without k."""
-
-    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        k, _, done = peel(*(t[x].to_numpy() for x in ("cell", "n", "k", "d", "c")), third)
-        got = pd.array(np.unique(k) if done else [None], dtype="Int64")
-        return pd.DataFrame({"pair": key[0], "bucket": key[1], "k": got})
-
-    # As small tables come in thousands, a group is many buckets' cells: one per task-sized block of buckets.
-    def block(_: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        parts = [run(key, g) for key, g in t.groupby(["pair", "bucket"], sort=False)]
-        return pd.concat(parts) if parts else pd.DataFrame({"pair": [], "bucket": [], "k": []})
-
-    blocks = cells.withColumn("blk", F.call_function("div", F.col("bucket"), F.lit(32).cast("bigint")))
+BLOCK_BUCKETS = 32  #: buckets that one group makes the tables of
+
+
+def _peeled(signed: DataFrame, third: int) -> DataFrame:
+    """(pair, bucket, k): the differing key hashes; for a bucket that failed one row without k. signed: pair, bucket, k, d, sign,
+    the elements of a pair's two snapshots. They are shuffled once, as they are; a group builds the tables of both snapshots
+    of BLOCK_BUCKETS buckets, already subtracted, in arrays."""
+    size = third * HASHES
+
+    def block(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        bucket, at = np.unique(t.bucket.to_numpy(), return_inverse=True)
+        k, d, sign = t.k.to_numpy(np.int64), t.d.to_numpy(np.int64), t.sign.to_numpy(np.int64)
+        e = element_hash(k, d)
+        n, keys, digests, checks = (np.zeros(len(bucket) * size, np.int64) for _ in range(4))
+        cells = positions(e, third) + (at * size)[:, None]
+        for cell in cells.T:
+            np.add.at(n, cell, sign)
+            for table, value in ((keys, k), (digests, d), (checks, e.view(np.int64))):
+                np.bitwise_xor.at(table, cell, value)
+        out = []
+        for i, b in enumerate(bucket):
+            part = slice(i * size, (i + 1) * size)
+            cell = np.flatnonzero((n[part] != 0) | (keys[part] != 0) | (digests[part] != 0) | (checks[part] != 0))
+            if len(cell):
+                found, _, done = peel(cell, n[part][cell], keys[part][cell], digests[part][cell], checks[part][cell], third)
+                out.append(pd.DataFrame({"pair": key[0], "bucket": b, "k": pd.array(np.unique(found) if done else [None], dtype="Int64")}))
+        return pd.concat(out) if out else pd.DataFrame({"pair": [], "bucket": [], "k": []})
+
+    blocks = signed.withColumn("blk", F.call_function("div", F.col("bucket"), F.lit(BLOCK_BUCKETS).cast("bigint")))
     return blocks.groupBy("pair", "blk").applyInPandas(block, "pair bigint, bucket bigint, k bigint")
 
 
 def differing_keys(elements: DataFrame, pairs: DataFrame, third: int = THIRD) -> DataFrame:
     """(pair, k): the key hashes whose element differs between a pair's two snapshots; a superset only in failed buckets.
 
-    elements: run_id, bucket, k, d, e; pairs: pair, run_id, sign (+1 later, -1 earlier).
+    elements: run_id, bucket, k, d; pairs: pair, run_id, sign (+1 later, -1 earlier).
     """
-    first = cut(_peeled(_tables(elements, pairs, third), third))
+    signed = elements.select("run_id", "bucket", "k", "d").join(pairs, "run_id").select("pair", "bucket", "k", "d", "sign")
+    first = cut(_peeled(signed, third))
     failed = first.filter("k is null").select("pair", "bucket")
-    wanted = pairs.join(failed, "pair")
-    again = elements.join(wanted.select("run_id", "bucket").distinct(), ["run_id", "bucket"], "left_semi")
-    cells = _tables(again, pairs, third * GROW).join(failed, ["pair", "bucket"], "left_semi")
-    second = cut(_peeled(cells, third * GROW))
-    rest = second.filter("k is null").select("pair", "bucket").join(pairs, "pair").join(elements, ["run_id", "bucket"]).select("pair", "k")
+    again = signed.join(failed, ["pair", "bucket"], "left_semi")
+    second = cut(_peeled(again, third * GROW))
+    rest = signed.join(second.filter("k is null").select("pair", "bucket"), ["pair", "bucket"], "left_semi").select("pair", "k")
     return first.unionByName(second).filter("k is not null").select("pair", "k").unionByName(rest).distinct()
 
 
@@ -142,7 +141,7 @@ def changes(records: DataFrame, runs: DataFrame) -> DataFrame:
     in_cell = lambda c: F.when(F.isnan(c), F.lit(-(2**62))).otherwise(F.floor(F.col(c) / DIGEST_CELL))
     elements = (
         records.select("run_id", F.xxhash64("pubkey").alias("k"), F.xxhash64(in_cell("lat"), in_cell("lon"), F.col("lat").isNull(), F.col("lon").isNull()).alias("d"))
-        .select("*", F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("bucket"), F.xxhash64("k", "d").alias("e"))
+        .select("*", F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("bucket"))
     )
     keys = differing_keys(elements, pairs).join(pairs, "pair").select("pair", "run_id", "sign", "k")
     rows = records.withColumn("k", F.xxhash64("pubkey")).join(keys, ["run_id", "k"])
