@@ -17,7 +17,7 @@ from airlattice.functions import rf
 from airlattice.tables import cut
 
 TILE = 64
-SAMPLES_PER_TASK = 60_000  #: samples are made in tasks of about so many, however few rows their links take
+SAMPLES_PER_TASK, MOST_TASKS = 60_000, 20_000  #: samples are made in tasks of about so many, however few rows their links take; beyond so many tasks each takes more
 BROADCAST_TILES = 1_000  #: tiles (of 34 kB each) up to which every executor gets all; more are joined by key
 
 
@@ -94,7 +94,7 @@ def evaluate(links: DataFrame, tiles: DataFrame, radio: rf.Radio, res: float, *,
     ok = links.filter("gate is null").select("link_id", "ax", "ay", "ah", "bx", "by", "bh", "d", "n")
     # Shared out by the samples to come; the aggregation by link needs no other shuffle then.
     samples = ok.agg(F.sum("n")).first()[0] or 0
-    ok = ok.repartition(max(1, -(-samples // SAMPLES_PER_TASK)), "link_id")
+    ok = ok.repartition(min(max(1, -(-samples // SAMPLES_PER_TASK)), MOST_TASKS), "link_id")
     ok = with_ground(with_ground(ok, tiles, "ax", "ay", "za", res), tiles, "bx", "by", "zb", res)
     ok = ok.withColumns({"ta": F.col("za") + F.col("ah"), "tb": F.col("zb") + F.col("bh")})
     s = with_ground(profile_samples(ok, radio, res), tiles, "px", "py", "z", res)

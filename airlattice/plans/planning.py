@@ -253,13 +253,6 @@ def c6(spark, d):
     return t.select("scenario", why.alias("mismatch"))
 
 
-@query("w4_first_per_cell", _C + ", g AS (SELECT job_id, cell, CAST(floor(x / 1000e0) AS BIGINT) AS gx, CAST(floor(y / 1000e0) AS BIGINT) AS gy FROM cells) SELECT job_id, gx, gy, min(cell) AS cell FROM g GROUP BY ALL")
-def w4(spark, d):
-    """The first site of each square, before others fill up."""
-    key = lambda c: F.floor(F.col(c) / 1000.0).cast("bigint")
-    return coverage.cells(spark, d).groupBy("job_id", key("x").alias("gx"), key("y").alias("gy")).agg(F.min("cell").alias("cell"))
-
-
 @query("w12_cell_quota", _C + ", g AS (SELECT job_id, cell, CAST(floor(x / 2000e0) AS BIGINT) AS gx, CAST(floor(y / 2000e0) AS BIGINT) AS gy, row_number() OVER (PARTITION BY job_id, floor(x / 2000e0), floor(y / 2000e0) ORDER BY best_margin_db DESC NULLS LAST, cell) AS r FROM cells) SELECT job_id, gx, gy, cell FROM g WHERE r <= 4")
 def w12(spark, d):
     key = lambda c: F.floor(F.col(c) / 2000.0).cast("bigint")
@@ -311,13 +304,30 @@ def f20(spark, d):
     return p.select("job_id", "source_id", q4(F.coalesce(F.sqrt(gx * gx + gy * gy), F.lit(1.0))).alias("slope"))
 
 
-@query("c2_mesh_area", f"WITH {radio._LINKS}, s AS (SELECT DISTINCT job_id, source_id, ax, ay FROM n), c AS (SELECT DISTINCT ON (job_id, \"index\") job_id, \"index\" AS cell, x, y FROM coverage) SELECT c.job_id, c.cell, min(sqrt((x - ax) * (x - ax) + (y - ay) * (y - ay))) <= 1500 AS inside FROM c JOIN s USING (job_id) GROUP BY c.job_id, c.cell")
+@query("c2_mesh_area", f"""WITH {radio._LINKS}, s AS (SELECT DISTINCT job_id, source_id, route_order, ax, ay FROM n), c AS (SELECT DISTINCT ON (job_id, \"index\") job_id, \"index\" AS cell, x, y FROM coverage),
+  g AS (SELECT job_id, ax, ay, ax AS ex, ay AS ey, 1500e0 AS reach FROM s UNION ALL SELECT job_id, ax, ay, lead(ax) OVER w, lead(ay) OVER w, 600e0 FROM s WINDOW w AS (PARTITION BY job_id ORDER BY route_order, source_id)),
+  p AS (SELECT c.job_id, c.cell, c.x, c.y, g.*, greatest(0e0, least(1e0, CASE WHEN ex = ax AND ey = ay THEN 0e0 ELSE ((x - ax) * (ex - ax) + (y - ay) * (ey - ay)) / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)) END)) AS t FROM c JOIN g ON g.job_id = c.job_id AND g.ex IS NOT NULL),
+  v AS (SELECT job_id, min(ax) - 1500e0 AS w, max(ax) + 1500e0 AS e, min(ay) - 1500e0 AS s, max(ay) + 1500e0 AS n FROM s GROUP BY job_id)
+  SELECT p.job_id, p.cell, bool_or(sqrt((x - (ax + t * (ex - ax))) * (x - (ax + t * (ex - ax))) + (y - (ay + t * (ey - ay))) * (y - (ay + t * (ey - ay)))) <= reach) AS in_mesh, any_value(x BETWEEN v.w AND v.e AND y BETWEEN v.s AND v.n) AS in_view
+  FROM p JOIN v ON v.job_id = p.job_id GROUP BY p.job_id, p.cell""")
 def c2(spark, d):
-    """Whether a cell lies in the union of the buffers about its run's sources (at most 64): membership in any of them."""
-    s = radio.cell_links(spark, d).select("job_id", "source_id", "ax", "ay").distinct().groupBy("job_id").agg(F.collect_list(F.struct("ax", "ay")).alias("l"))
-    c = coverage.cells(spark, d).select("job_id", "cell", "x", "y").join(s, "job_id")
-    near = F.exists("l", lambda p: F.sqrt((F.col("x") - p["ax"]) * (F.col("x") - p["ax"]) + (F.col("y") - p["ay"]) * (F.col("y") - p["ay"])) <= 1500)
-    return c.select("job_id", "cell", near.alias("inside"))
+    """The areas of a run that its cells lie in: the mesh's, buffers about its sources and a corridor along them in route order (at
+    most 64 sources: membership in any part), and the view, the box about all buffers."""
+    s = radio.cell_links(spark, d).select("job_id", "source_id", "route_order", "ax", "ay").distinct()
+    w = Window.partitionBy("job_id").orderBy("route_order", "source_id")  # a run's sources
+    s = s.withColumns({"ex": F.lead("ax").over(w), "ey": F.lead("ay").over(w)})
+    part = lambda ex, ey, r: F.struct("ax", "ay", F.col(ex).alias("ex"), F.col(ey).alias("ey"), F.lit(r).alias("reach"))
+    parts = F.flatten(F.collect_list(F.array(part("ax", "ay", 1500.0), F.when(F.col("ex").isNotNull(), part("ex", "ey", 600.0)))))
+    g = s.groupBy("job_id").agg(parts.alias("l"), *((f(c) + m).alias(n) for n, f, c, m in (("w", F.min, "ax", -1500.0), ("e", F.max, "ax", 1500.0), ("s", F.min, "ay", -1500.0), ("n", F.max, "ay", 1500.0))))
+    c = coverage.cells(spark, d).select("job_id", "cell", "x", "y").join(g, "job_id")
+
+    def within(p):
+        x, y, dx, dy = F.col("x"), F.col("y"), p["ex"] - p["ax"], p["ey"] - p["ay"]
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when((dx == 0) & (dy == 0), 0.0).otherwise(((x - p["ax"]) * dx + (y - p["ay"]) * dy) / (dx * dx + dy * dy))))
+        ox, oy = x - (p["ax"] + t * dx), y - (p["ay"] + t * dy)
+        return F.coalesce(F.sqrt(ox * ox + oy * oy) <= p["reach"], F.lit(False))
+
+    return c.select("job_id", "cell", F.exists("l", within).alias("in_mesh"), (F.col("x").between(F.col("w"), F.col("e")) & F.col("y").between(F.col("s"), F.col("n"))).alias("in_view"))
 
 
 @query("pp8_bounds_union", _C + " SELECT endpoint, min(x - 250e0) AS west, min(y - 250e0) AS south, max(x + 250e0) AS east, max(y + 250e0) AS north FROM cells GROUP BY endpoint")
@@ -352,7 +362,11 @@ def pp18(spark, d):
     return load(spark, d, "nodes_snapshot").select("run_id", F.lower("pubkey").alias("pubkey"), scrubbed("raw_json").alias("raw_json")).distinct()
 
 
-@query("a17_thin_profiles")
+@query("a17_thin_profiles", f"""WITH {radio._LINKS}, s AS (SELECT *, unnest(range(n)) AS i FROM n WHERE n <= 4096 AND d > 0), t AS (SELECT *, CASE WHEN i = n - 1 THEN d ELSE i * (d / (n - 1)) END AS di FROM s),
+  h AS (SELECT link_id, CAST(i AS INT) AS i, n, (CAST(floor(ax + di / d * (bx - ax)) AS BIGINT) * 7 + CAST(floor(ay + di / d * (by - ay)) AS BIGINT) * 13) AS k FROM t),
+  g AS (SELECT link_id, i, n, CAST((k % 200 + 200) % 200 AS DOUBLE) AS h, CAST(floor(i / greatest(ceil(n * 2 / 18e0), 1)) AS BIGINT) AS bin FROM h),
+  w AS (SELECT *, row_number() OVER (PARTITION BY link_id, bin ORDER BY h, i) AS lo, row_number() OVER (PARTITION BY link_id, bin ORDER BY h DESC, i) AS hi FROM g)
+  SELECT link_id, i, n, h FROM w WHERE lo = 1 OR hi = 1 OR i = 0 OR i = n - 1""")
 def a17(spark, d):
     """Profiles of the links with their extremes kept, at most 20 samples each."""
     from airlattice.sources import sinks

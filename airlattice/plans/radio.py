@@ -42,13 +42,16 @@ def cell_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lattice(spark: SparkSession, link_rows: DataFrame, margin: int = 1) -> DataFrame:
-    """Terrain nodes over the links' extent, a node every RES metres, and margin nodes about it; some are missing."""
-    lo, hi = link_rows.agg(F.floor(F.min(F.least("ax", "ay", "bx", "by")) / RES) - margin, F.ceil(F.max(F.greatest("ax", "ay", "bx", "by")) / RES) + margin).first()
-    lo, hi = (int(lo), int(hi)) if lo is not None else (0, 1)
-    side = hi - lo + 1
-    ix, iy = (F.col("id") % side + lo).cast("int"), (F.floor(F.col("id") / side) + lo).cast("int")
+    """Terrain nodes, every RES metres, of the tiles that the links' boxes meet with margin nodes about them; some are missing.
+    The tiles are as many as links touch, however far apart these lie."""
+    tile = lambda c, m: F.floor((c / F.lit(RES) + m) / links.TILE).cast("int")
+    span = lambda a, b: F.sequence(tile(F.least(a, b), -margin), tile(F.greatest(a, b), margin + 1))
+    t = link_rows.select(F.explode(span("ax", "bx")).alias("tx"), "ay", "by").select("tx", F.explode(span("ay", "by")).alias("ty")).distinct()
+    within = F.explode(F.sequence(F.lit(0), F.lit(links.TILE - 1)))
+    n = t.withColumn("i", within).withColumn("j", within).select((F.col("tx") * links.TILE + F.col("i")).alias("ix"), (F.col("ty") * links.TILE + F.col("j")).alias("iy"))
+    ix, iy = F.col("ix"), F.col("iy")
     z = F.pmod(ix * 7919 + iy * 104729, F.lit(200)).cast("double")
-    return spark.range(side * side).select(ix.alias("ix"), iy.alias("iy"), F.when(F.pmod(ix * 31 + iy * 17, F.lit(997)) != 0, z).alias("z"))
+    return n.select("ix", "iy", F.when(F.pmod(ix * 31 + iy * 17, F.lit(997)) != 0, z).alias("z"))
 
 
 _LINKS = """

@@ -49,7 +49,9 @@ def nearest(points: DataFrame, k: int = NEIGHBOURS, cell: int = CELL, rings: int
     def best(pairs: DataFrame) -> DataFrame:
         d2 = (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay"))
         near = pairs.filter("a <> id").select("endpoint", "a", F.col("id").alias("b"), d2.alias("d2"))
-        return near.groupBy("endpoint", "a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "b"))), 1, k).alias("l"))
+        place = F.row_number().over(Window.partitionBy("endpoint", "a").orderBy("d2", "b"))  # those beyond k fall out before the shuffle
+        top = near.withColumn("place", place).filter(F.col("place") <= k)
+        return top.groupBy("endpoint", "a").agg(F.array_sort(F.collect_list(F.struct("d2", "b"))).alias("l"))
 
     left, done, reach = b, None, 1
     while reach <= rings and left.take(1):
@@ -167,6 +169,55 @@ def p13(spark, d):
     return s.filter("mode = 'all' or (mode = 'existing_only') = known").select("endpoint", "mode", "id", (F.col("policy") == "required").alias("required"))
 
 
+BACKBONE = 12  #: sites of a network's backbone; a quarter of them may be ones that are known
+
+
+@query("w4_backbone_sites", _S + _POLICY + f""", inc AS (SELECT s.endpoint, s.id, s.x, s.y, s.z, s.z / 500e0 - 0.35e0 * least(s.slope, 1e0) AS q, po.known FROM s JOIN po ON po.endpoint = s.endpoint AND po.id = s.id WHERE enabled AND policy <> 'excluded'),
+  big AS (SELECT *, count(*) OVER (PARTITION BY endpoint) AS n FROM inc),
+  kn AS (SELECT * FROM big WHERE known AND n > {BACKBONE} QUALIFY row_number() OVER (PARTITION BY endpoint ORDER BY q DESC, z DESC, id) <= {BACKBONE // 4}),
+  pool AS (SELECT * FROM big WHERE n > {BACKBONE} AND NOT known UNION ALL SELECT * FROM kn),
+  m AS (SELECT endpoint, count(*) AS c, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(x * x) AS DOUBLE) AS xx, CAST(sum(y * y) AS DOUBLE) AS yy, CAST(sum(x * y) AS DOUBLE) AS xy FROM pool GROUP BY endpoint),
+  an AS (SELECT endpoint, sx / c AS mx, sy / c AS my, 0.5e0 * atan2(2e0 * (xy / c - sx / c * (sy / c)), (xx / c - sx / c * (sx / c)) - (yy / c - sy / c * (sy / c))) AS angle FROM m),
+  ro AS (SELECT pool.*, (x - mx) * cos(angle) + (y - my) * sin(angle) AS u, (y - my) * cos(angle) - (x - mx) * sin(angle) AS v FROM pool JOIN an USING (endpoint)),
+  bo AS (SELECT endpoint, min(u) AS lu, min(v) AS lv, greatest(sqrt((max(u) - min(u)) * (max(v) - min(v)) / {BACKBONE}e0), greatest(max(u) - min(u), max(v) - min(v)) / {BACKBONE}e0) AS size FROM ro GROUP BY endpoint),
+  sp AS (SELECT ro.* FROM ro JOIN bo USING (endpoint) WHERE size > 0 QUALIFY row_number() OVER (PARTITION BY endpoint, floor((u - lu) / size), floor((v - lv) / size) ORDER BY q DESC, z DESC, id) = 1),
+  al AS (SELECT endpoint, id, q, z, 0 AS tier FROM kn UNION ALL SELECT endpoint, id, q, z, 1 FROM sp UNION ALL SELECT endpoint, id, q, z, 2 FROM pool),
+  fi AS (SELECT endpoint, id, min(tier) AS tier, any_value(q) AS q, any_value(z) AS z FROM al GROUP BY endpoint, id QUALIFY row_number() OVER (PARTITION BY endpoint ORDER BY min(tier), any_value(q) DESC, any_value(z) DESC, id) <= {BACKBONE})
+  SELECT endpoint, id FROM fi UNION ALL SELECT endpoint, id FROM big WHERE n <= {BACKBONE}""")
+def w4(spark, d):
+    """The sites of each network's backbone. Of its known sites the best few; then the best of each square of a grid
+    along the principal axis, as many squares as the backbone has sites; then the best that are left. A network of no more
+    sites than that keeps all."""
+    policy = F.when(F.col("z") % 3 == 0, "optional").when(F.col("z") % 3 == 1, "required").otherwise("excluded")
+    inc = cut(
+        sites(spark, d).filter((F.col("z") % 5 != 0) & (policy != "excluded"))
+        .select("endpoint", "id", "x", "y", "z", (F.col("z") / 500.0 - 0.35 * F.least("slope", F.lit(1.0))).alias("q"), (F.col("z") % 2 == 0).alias("known"))
+    )
+    inc = inc.join(inc.groupBy("endpoint").agg(F.count("*").alias("n")), "endpoint")
+    large, order = inc.filter(F.col("n") > BACKBONE), [F.desc("q"), F.desc("z"), "id"]
+    first = lambda t, k, *by: t.withColumn("r", F.row_number().over(Window.partitionBy("endpoint", *by).orderBy(*order))).filter(F.col("r") <= k).drop("r")
+    known = first(large.filter("known"), BACKBONE // 4)
+    pool = cut(large.filter("not known").unionByName(known))
+    dec = lambda c: F.sum(c.cast("decimal(38,0)")).cast("double")
+    x, y = F.col("x"), F.col("y")
+    m = pool.groupBy("endpoint").agg(F.count("*").alias("c"), dec(x).alias("sx"), dec(y).alias("sy"), dec(x * x).alias("xx"), dec(y * y).alias("yy"), dec(x * y).alias("xy"))
+    c, mx, my = F.col("c"), F.col("sx") / F.col("c"), F.col("sy") / F.col("c")
+    angle = F.lit(0.5) * F.atan2(F.lit(2.0) * (F.col("xy") / c - mx * my), (F.col("xx") / c - mx * mx) - (F.col("yy") / c - my * my))
+    t = pool.join(m.select("endpoint", mx.alias("mx"), my.alias("my"), angle.alias("angle")), "endpoint")
+    dx, dy, cos, sin = x - F.col("mx"), y - F.col("my"), F.cos("angle"), F.sin("angle")
+    t = t.withColumns({"u": dx * cos + dy * sin, "v": dy * cos - dx * sin})
+    b = t.groupBy("endpoint").agg(F.min("u").alias("lu"), F.min("v").alias("lv"), (F.max("u") - F.min("u")).alias("w"), (F.max("v") - F.min("v")).alias("h"))
+    size = F.greatest(F.sqrt(F.col("w") * F.col("h") / float(BACKBONE)), F.greatest("w", "h") / float(BACKBONE))
+    t = t.join(b.withColumn("size", size), "endpoint").filter("size > 0")
+    t = t.withColumns({"gu": F.floor((F.col("u") - F.col("lu")) / F.col("size")), "gv": F.floor((F.col("v") - F.col("lv")) / F.col("size"))})
+    tier = lambda r, k: r.select("endpoint", "id", "q", "z", F.lit(k).alias("tier"))
+    ranked = tier(known, 0).unionByName(tier(first(t, 1, "gu", "gv"), 1)).unionByName(tier(pool, 2))
+    ranked = ranked.groupBy("endpoint", "id").agg(F.min("tier").alias("tier"), F.first("q").alias("q"), F.first("z").alias("z"))
+    place = F.row_number().over(Window.partitionBy("endpoint").orderBy("tier", *order))  # the first few: rows beyond fall out before the sort ends
+    best = ranked.withColumn("r", place).filter(F.col("r") <= BACKBONE)
+    return best.select("endpoint", "id").unionByName(inc.filter(F.col("n") <= BACKBONE).select("endpoint", "id"))
+
+
 @query("f23_utm_zone", mesh._CTE + " SELECT endpoint, pubkey, lat, lon, CASE WHEN z = 34 THEN 33 ELSE z END AS zone FROM (SELECT *, CAST(least(greatest(floor((lon + 180) / 6) + 1, 31), 36) AS INT) AS z FROM nodes WHERE lon IS NOT NULL)")
 def f23(spark, d):
     return mesh.nodes(spark, d).filter("lon is not null").select("endpoint", "pubkey", "lat", "lon", geo.norwegian_zone(F.col("lon")).alias("zone"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CELL = "array<struct<index:bigint,x:double,y:double,latitude:double,longitude:double,state:string,source_count:bigint,best_margin_db:double,best_source_id:string>>"
+SOURCE = "struct<source_id:string,downlink_margin_db:double,uplink_margin_db:double,two_way_margin_db:double,valid_downlink:boolean,valid_uplink:boolean,valid_two_way:boolean,rejection:string,rejection_detail:string>"
+CELL = (
+    "array<struct<index:bigint,x:double,y:double,latitude:double,longitude:double,state:string,source_count:bigint,unknown_sources:bigint,unresolved_sources:bigint,"
+    f"best_margin_db:double,best_source_id:string,sources:array<{SOURCE}>>>"
+)
 
 
 def antenna(spark: SparkSession, path: str) -> DataFrame:
@@ -65,12 +69,17 @@ def near_roads(points: DataFrame, segments: DataFrame, reach: float) -> DataFram
 RECEPTION = "id bigint, hash string, timestamp string, first_seen string, observer_id string, observer_name string, rssi double, snr double, path_json string, resolved_path array<string>, route_type int, payload_type int, direction string, observation_count int, decoded_json string"
 
 
+_INNER = ",".join(":".join(c.split(" ", 1)) for c in RECEPTION.split(", "))
+PAGE = f"packets array<struct<{_INNER},observations:array<struct<{_INNER}>>>>, total bigint, offset bigint"
+
+
 def packet_pages(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Packets of page files; expanded receptions stand in `observations`. Descending ids are checked by page_faults."""
-    inner = RECEPTION.replace(" bigint", ":bigint").replace(" string", ":string").replace(" double", ":double").replace(" array<string>", ":array<string>").replace(" int", ":int")
-    schema = f"packets array<struct<{inner.replace(', ', ',')},observations:array<struct<{inner.replace(', ', ',')}>>>>, total bigint, offset bigint"
     reader = spark.readStream if streaming else spark.read
-    pages = reader.schema(schema).option("multiLine", True).json(path)
+    return page_packets(reader.schema(PAGE).option("multiLine", True).json(path))
+
+
+def page_packets(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("offset"), F.posexplode("packets").alias("pos", "p")).select("offset", "pos", "p.*")
 
 

@@ -7,12 +7,14 @@ decides over nodata. Other storage, sidecar files and rotated images are errors,
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -34,12 +36,16 @@ class Tiff:
     path: str
     order: str = "<"
     images: list[dict[int, tuple]] = field(default_factory=list)
+    content: bytes | None = None  #: the file itself, where it was read by another file system
+
+    def _open(self):
+        return open(self.path, "rb") if self.content is None else io.BytesIO(self.content)
 
     def __post_init__(self):
         for side in (".msk", ".aux.xml"):
-            if os.path.exists(self.path + side):
+            if self.content is None and os.path.exists(self.path + side):
                 raise ValueError(f"{self.path} has a sidecar file {side}")
-        with open(self.path, "rb") as f:
+        with self._open() as f:
             head = f.read(8)
             self.order = {b"II": "<", b"MM": ">"}.get(head[:2]) or self._bad("no TIFF file")
             magic, at = struct.unpack(self.order + "HI", head[2:])
@@ -150,7 +156,7 @@ class Tiff:
             h = min(h, t[HEIGHT][0] - row0)
         if offsets[number] == 0 and counts[number] == 0:
             return None
-        with open(self.path, "rb") as f:
+        with self._open() as f:
             f.seek(offsets[number])
             data = f.read(counts[number])
         kind = self.dtype(t)
@@ -232,30 +238,39 @@ class _Reader(DataSourceReader):
         return parts
 
     def read(self, part):
-        tiff = Tiff(part.path)
-        t, mask, nodata = tiff.images[0], tiff.mask_image(), tiff.nodata()
-        west, north, dx, dy = tiff.geotransform()
-        whole_mask = None
+        yield from block_rows(Tiff(part.path), part.priority, part.numbers)
+
+
+def block_rows(tiff: Tiff, priority: int, numbers: list[int]):
+    """Rows of SCHEMA of an image's blocks. The mask is read in its own blocks, those that a block of the image meets."""
+    t, mask, nodata = tiff.images[0], tiff.mask_image(), tiff.nodata()
+    west, north, dx, dy = tiff.geotransform()
+    places = tiff.blocks(t)
+    for i in numbers:
+        _, r, c = places[i]
+        h, w = tiff.block_shape(t)
+        rows, cols = min(h, t[HEIGHT][0] - r), min(w, t[WIDTH][0] - c)
+        a = tiff.read_block(t, i)
+        a = np.full((rows, cols), nodata if nodata is not None else 0.0) if a is None else a.astype(float)
         if mask is not None:
-            whole_mask = np.zeros((mask[HEIGHT][0], mask[WIDTH][0]), bool)
-            for i, r, c in tiff.blocks(mask):
-                b = tiff.read_block(mask, i)
-                if b is not None:
-                    whole_mask[r : r + b.shape[0], c : c + b.shape[1]] = b != 0
-        for i in part.numbers:
-            _, r, c = tiff.blocks(t)[i]
-            h, w = tiff.block_shape(t)
-            rows, cols = min(h, t[HEIGHT][0] - r), min(w, t[WIDTH][0] - c)
-            a = tiff.read_block(t, i)
-            a = np.full((rows, cols), nodata if nodata is not None else 0.0) if a is None else a.astype(float)
-            if whole_mask is not None:
-                out = ~whole_mask[r : r + rows, c : c + cols]
-            elif nodata is not None:
-                out = np.isnan(a) if np.isnan(nodata) else a == nodata
-            else:
-                out = np.zeros((rows, cols), bool)
-            z = [None if m or v != v else v for v, m in zip(a.ravel().tolist(), out.ravel().tolist(), strict=True)]
-            yield part.path, part.priority, r, c, rows, cols, west, north, dx, dy, tiff.epsg, z, out.ravel().tolist()
+            out = ~mask_window(tiff, mask, r, c, rows, cols)
+        elif nodata is not None:
+            out = np.isnan(a) if np.isnan(nodata) else a == nodata
+        else:
+            out = np.zeros((rows, cols), bool)
+        z = np.where(out | np.isnan(a), None, a).ravel().tolist()
+        yield tiff.path, priority, r, c, rows, cols, west, north, dx, dy, tiff.epsg, z, out.ravel().tolist()
+
+
+def mask_window(tiff: Tiff, mask: dict, row: int, col: int, rows: int, cols: int) -> np.ndarray:
+    """The mask's part that covers a window of the image; True where the image holds."""
+    out = np.zeros((rows, cols), bool)
+    for i, r, c in tiff.blocks(mask):
+        h, w = tiff.block_shape(mask)
+        top, left, bottom, right = max(r, row), max(c, col), min(r + h, row + rows, mask[HEIGHT][0]), min(c + w, col + cols, mask[WIDTH][0])
+        if top < bottom and left < right and (b := tiff.read_block(mask, i)) is not None:
+            out[top - row : bottom - row, left - col : right - col] = b[top - r : bottom - r, left - c : right - c] != 0
+    return out
 
 
 class RasterSource(DataSource):
@@ -277,6 +292,69 @@ def read_blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("elevation").option("paths", ",".join(paths)).load()
 
 
+def decoded(files: DataFrame) -> DataFrame:
+    """Blocks of whole files: path, priority, content, as spark.read.format("binaryFile") gives them from any file system. Each
+    file, held whole by one task, is decoded block by block."""
+
+    def run(batches):
+        for b in batches:
+            for path, priority, content in zip(*(b.column(c) for c in ("path", "priority", "content")), strict=True):
+                tiff = Tiff(path.as_py(), content=content.as_py())
+                rows = block_rows(tiff, priority.as_py(), list(range(len(tiff.blocks(tiff.images[0])))))
+                for row in rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema=kind)
+
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_())}
+    kind = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(", ")])
+    return files.select("path", F.col("priority").cast("int"), "content").mapInArrow(run, SCHEMA)
+
+
+def encode(a: np.ndarray, west: float, north: float, step: float, epsg: int, *, tile: int = 16, compressed: bool = True, nodata: float | None = None, mask: np.ndarray | None = None) -> bytes:
+    """A file of one band of doubles in square tiles, its upper left corner at (west, north); mask: where it holds, as an
+    image of its own."""
+    h, w = a.shape
+    data, images = bytearray(8), []
+
+    def put(block: bytes) -> tuple[int, int]:
+        at = len(data)
+        data.extend(block)
+        return at, len(block)
+
+    def tiles(v: np.ndarray):
+        for r in range(0, h, tile):
+            for c in range(0, w, tile):
+                b = np.zeros((tile, tile), v.dtype)
+                part = v[r : r + tile, c : c + tile]
+                b[: part.shape[0], : part.shape[1]] = part
+                yield b
+
+    pack = zlib.compress if compressed else bytes
+    stored = [put(pack(b.tobytes())) for b in tiles(a.astype("<f8"))]
+    common = {WIDTH: ("I", [w]), HEIGHT: ("I", [h]), SAMPLES: ("H", [1]), TILE_WIDTH: ("I", [tile]), TILE_HEIGHT: ("I", [tile])}
+    keys = [1, 1, 0, 2, 1025, 0, 1, 1, 3072, 0, 1, epsg]
+    first = common | {BITS: ("H", [64]), FORMAT: ("H", [3]), COMPRESSION: ("H", [8 if compressed else 1]), TILE_OFFSETS: ("I", [x for x, _ in stored]), TILE_COUNTS: ("I", [n for _, n in stored]),
+                      PIXEL_SCALE: ("d", [step, step, 0.0]), TIEPOINT: ("d", [0.0, 0.0, 0.0, west, north, 0.0]), GEOKEYS: ("H", keys)}
+    if nodata is not None:
+        first[NODATA] = ("c", [bytes([x]) for x in repr(nodata).encode() + b"\0"])
+    images.append(first)
+    if mask is not None:
+        held = [put(np.packbits(b, axis=1).tobytes()) for b in tiles(mask.astype(np.uint8))]
+        images.append(common | {SUBFILE: ("I", [4]), BITS: ("H", [1]), COMPRESSION: ("H", [1]), TILE_OFFSETS: ("I", [x for x, _ in held]), TILE_COUNTS: ("I", [n for _, n in held])})
+    number = {v: k for k, v in _TYPES.items() if len(v) == 1}
+    link = 4  # where the place of the next directory is written
+    for tags in images:
+        entries = b""
+        for tag, (fmt, values) in sorted(tags.items()):
+            raw = struct.pack("<" + fmt * len(values), *values)
+            entries += struct.pack("<HHI", tag, number[fmt], len(values)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", put(raw)[0]))
+        at, _ = put(struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0))
+        data[link : link + 4] = struct.pack("<I", at)
+        link = len(data) - 4
+    data[:4] = b"II" + struct.pack("<H", 42)
+    return bytes(data)
+
+
 def sample(points: DataFrame, blocks: DataFrame) -> DataFrame:
     """points (x, y, other columns) with z: the pixel that holds the point in the first image with an unmasked pixel there,
     even if its value is missing; null outside all images. Points and blocks meet in squares a few blocks wide."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OVERLAP_MS = 15 * 60 * 1000  #: how far a poll reaches back for late arrivals
@@ -88,17 +88,18 @@ class ReceptionStore:
             aside = f"{self.path}/commits/_{batch_id}"
             self.spark.createDataFrame([(json.dumps(where),)], "value string").coalesce(1).write.mode("overwrite").text(aside)
             path = self.spark._jvm.org.apache.hadoop.fs.Path
-            self._fs()[0].rename(path(aside), path(f"{self.path}/commits/{batch_id}"))
+            if not self._fs()[0].rename(path(aside), path(f"{self.path}/commits/{batch_id}")):
+                raise OSError(f"the commit of batch {batch_id} could not be put in place")
         finally:
             batch.unpersist()
 
 
-def receptions(packets: DataFrame, endpoint: str) -> DataFrame:
+def receptions(packets: DataFrame, endpoint: str | Column) -> DataFrame:
     """Packets of pages to receptions: a packet's expanded rows, or the packet itself where it has none."""
     own = F.array(F.struct(F.lit(None).cast("bigint").alias("id"), "observer_id", "timestamp", "rssi", "snr"))
     each = F.transform("observations", lambda o: F.struct(o["id"].alias("id"), o["observer_id"].alias("observer_id"), o["timestamp"].alias("timestamp"), o["rssi"].alias("rssi"), o["snr"].alias("snr")))
     arrival = F.coalesce("offset", F.lit(0)) * (1 << 20) + F.col("pos")  # the place in the feed, the same in a replay
-    r = packets.select(F.lit(endpoint).alias("endpoint"), F.col("id").alias("packet_id"), "hash", arrival.alias("arrival"), F.explode(F.when(F.size("observations") > 0, each).otherwise(own)).alias("o"))
+    r = packets.select((F.lit(endpoint) if isinstance(endpoint, str) else endpoint).alias("endpoint"), F.col("id").alias("packet_id"), "hash", arrival.alias("arrival"), F.explode(F.when(F.size("observations") > 0, each).otherwise(own)).alias("o"))
     return r.select(
         "endpoint", "packet_id", reception_key(F.col("o.id"), F.col("o.observer_id")).alias("observation_key"), "hash", "o.observer_id", "o.timestamp", "o.rssi", "o.snr", "arrival"
     ).filter("observation_key is not null")

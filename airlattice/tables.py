@@ -47,10 +47,12 @@ def topology_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset, as in tests on one machine, a
-    temporary folder."""
+    """The shared folder named by spark.checkpoint.dir; only where that is unset and all runs on one machine, as in tests, a
+    temporary folder. On a cluster a folder of the driver's would be another one on each executor, so that is an error."""
     global _OWN
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named and _OWN is None:
         _OWN = tempfile.mkdtemp(prefix="airlattice-")
         atexit.register(shutil.rmtree, _OWN, ignore_errors=True)
