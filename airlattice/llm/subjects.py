@@ -6,10 +6,11 @@ vectors' dimensions, square roots of counts times the inverse document frequency
 documents, without labels: each leaf with more than its share of the scatter is cut along the term that scatters most.
 3. A leaf's discriminative terms weigh more in it than among all documents; the labelled documents say how these are shared
 among the subjects, and the leaf takes the subject that has most of them, if it has enough. Leaves of no subject (tutorials,
-frames, outputs) stay without. 4. Over all documents, terms that keep to the leaves of one subject are topical; repeated with all documents whose topical
-words are clearly one subject's in the leaves' place, so that terms come in of documents, such as of rarer languages, that no
-leaf has to itself. 5. A document's topical words are a mixture of the named leaves' discriminative profiles; a subject counts
-if its part is more than a passing mention: at least MIN_WORDS words, MIN_TERMS different terms, and MIN_SHARE of the words.
+frames, outputs) stay without. 4. Over all documents, terms that keep to the leaves of one subject and are rare elsewhere are
+topical; repeated with all documents whose topical words are clearly one subject's in the leaves' place, so that terms come in
+of documents, such as of rarer languages, that no leaf has to itself. 5. A document's topical words are a mixture of the named
+leaves' discriminative profiles; a subject counts if its part is more than a passing mention: at least MIN_WORDS words,
+MIN_TERMS different terms, and MIN_SHARE of the words.
 
 The labels do no more than name leaves, and are the only sample: at most MAX_LABELLED labelled documents are used. Everything
 else covers all documents. Null or empty texts and documents without topical terms get no subject; without labels, or with
@@ -34,13 +35,15 @@ MAX_LABELLED = 50_000
 TERM_BYTES = (3, 30)
 #: A dimension of the vectors: a term held by this part of all documents, and by at least so many.
 LEAST_RATE, MOST_RATE, LEAST_DOCS = 0.002, 0.5, 3
-#: Bisection: a leaf is cut if it holds this part of all scatter and so many documents; passes over the documents a cut.
-SPLIT_SHARE, LEAST_LEAF, MAX_DEPTH, LLOYD = 0.008, 10, 24, 2
+#: Bisection: a leaf is cut if it holds this part of all scatter and so many documents. Each depth takes one pass over the
+#: documents, which moves its centroids from their seeds to the means that the next pass assigns by; LLOYD passes follow.
+SPLIT_SHARE, LEAST_LEAF, MAX_DEPTH, LLOYD = 0.008, 10, 24, 1
 LEAF_NAME = 0.75  #: a leaf's name is the subject that has this part of its discriminative terms
 LABEL_PRIOR = 0.1  #: labelled documents of each subject that are taken to hold a term besides those that do
 CLEAR_SHARE, ROUNDS = 0.8, 2  #: a document of one clear subject has so much of its topical words on it; rounds of telling terms from such
-#: A topical term: held by this part of the documents of a subject's leaves, and so purely, all subjects weighing alike.
-TOPICAL_RATE, TOPICAL_PURITY = 0.01, 0.75
+#: A topical term: held by this part of the documents of a subject's leaves, so purely, all subjects weighing alike, and so many
+#: times as often as by all other documents, those of no subject among them.
+TOPICAL_RATE, TOPICAL_PURITY, TOPICAL_TIMES = 0.01, 0.75, 4.0
 MIN_WORDS, MIN_TERMS, MIN_SHARE = 6.5, 5.5, 0.07
 MIXTURE_STEPS, MIXTURE_DOCS = 12, 500  #: and documents that are taken together, to stay within the processor's cache
 TREE_TASKS = 64  #: partial sums that one task of the aggregation tree adds up
@@ -210,13 +213,20 @@ def bisect(vectors: DataFrame, weight: np.ndarray) -> tuple[Tree, dict[int, tupl
             tree.cut(i, *leaves[i])
         if not large:
             break
-        for _ in range(LLOYD):
-            leaves = leaf_sums(vectors, tree)
-            for i, (n, t, _) in leaves.items():
-                tree.centroid[i] = t / n
+        leaves = refined(vectors, tree)
+    for _ in range(LLOYD):
+        leaves = refined(vectors, tree)
     return tree, leaves
 
 
+def refined(vectors: DataFrame, tree: Tree) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """A pass over all documents: the leaves' sums, whose means become their centroids."""
+    leaves = leaf_sums(vectors, tree)
+    for i, (n, t, _) in leaves.items():
+        tree.centroid[i] = t / n
+    return leaves
+
+
 def discriminative(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """How much each term tells a leaf from all documents: its gain where it weighs more in the leaf, else 0."""
     p, q = part / max(part.sum(), 1e-12), whole / max(whole.sum(), 1e-12)
@@ -245,23 +255,24 @@ class Groups:
         self.leaf_subject = np.full(len(tree.child), -1)
         self.leaf_subject[list(name)] = list(name.values())
         self.known: tuple[Terms, np.ndarray] | None = None  #: topical terms and the subject each keeps to
-        self.subject = np.concatenate([self.leaf_subject, np.arange(n_subjects)])  #: of each group
+        self.subject = np.concatenate([self.leaf_subject, np.arange(n_subjects), [-1]])  #: of each group; the last is of no subject
 
     def of(self, b: pa.RecordBatch) -> np.ndarray:
-        """Each document's group, or -1."""
+        """Each document's group."""
         n = len(b)
         row, dim, count = self.vocabulary.entries(b)
         leaf = self.tree.assign(row, dim, self.tree.unit(row, dim, count, n), n)
         own = np.where(np.bincount(row, minlength=n) > 0, self.leaf_subject[leaf], -1)
+        none = len(self.subject) - 1
         if self.known is None:
-            return np.where(own >= 0, leaf, -1)
+            return np.where(own >= 0, leaf, none)
         terms, owner = self.known
         row, at, count = terms.entries(b)
         cell, shape = row * self.n_subjects + owner[at], (n, self.n_subjects)
         words, kinds = np.bincount(cell, count, minlength=n * self.n_subjects).reshape(shape), np.bincount(cell, minlength=n * self.n_subjects).reshape(shape)
         top = words.argmax(1)
         clear = (kinds[np.arange(n), top] >= MIN_TERMS) & (words[np.arange(n), top] >= CLEAR_SHARE * words.sum(1))
-        return np.where(clear, np.where(own == top, leaf, len(self.leaf_subject) + top), -1)
+        return np.where(clear, np.where(own == top, leaf, len(self.leaf_subject) + top), none)
 
 
 def by_subject(words: np.ndarray, kinds: np.ndarray, subject: np.ndarray, n_subjects: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,12 +288,10 @@ def _by_group(groups: Groups):
         for b in batches:
             group = groups.of(b)
             row, term, count = _flat(b)
-            ok = group[row] >= 0
-            row, term, count = row[ok], term[ok], count[ok]
             order = np.lexsort((group[row], term))
             t, at, c = term[order], group[row][order], count[order]
             new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (at[1:] != at[:-1])])) if len(t) else np.empty(0, np.int64)
-            docs = np.bincount(group[group >= 0], minlength=len(groups.subject))
+            docs = np.bincount(group, minlength=len(groups.subject))
             held = np.flatnonzero(docs)
             columns = [np.concatenate(x) for x in ([t[new], np.zeros(len(held), np.int64)], [at[new], held], [np.diff(np.append(new, len(t))), docs[held]],
                                                    [np.add.reduceat(c, new) if len(new) else np.empty(0, np.int64), np.zeros(len(held), np.int64)])]
@@ -296,18 +305,21 @@ def topical(terms: DataFrame, groups: Groups) -> tuple[Terms, np.ndarray, np.nda
     counts."""
     by = terms.mapInArrow(_by_group(groups), "term bigint, grp bigint, n bigint, words bigint")
     by = cut(by.groupBy("term", "grp").agg(F.sum("n").alias("n"), F.sum("words").alias("words")))
-    docs = np.zeros(groups.n_subjects)
+    docs = np.zeros(groups.n_subjects + 1)  # the last of no subject
     for r in by.filter("term = 0").collect():  # one row a group
         docs[groups.subject[r.grp]] += r.n
     lookup = lambda values, at: F.element_at(F.array(*(F.lit(x) for x in values)), (at + 1).cast("int"))
     held = by.filter("term != 0").groupBy("term", lookup(groups.subject.tolist(), F.col("grp")).alias("subject")).agg(F.sum("n").alias("n"))
     # Only terms of TOPICAL_RATE in some subject can be topical: a few thousand at most, whatever the corpus.
     size = lookup([float(max(x, 1)) for x in docs], F.col("subject"))
-    common = held.filter((F.col("n") >= TOPICAL_RATE * size) & (F.col("n") >= LEAST_DOCS)).select("term").distinct()
+    common = held.filter("subject >= 0").filter((F.col("n") >= TOPICAL_RATE * size) & (F.col("n") >= LEAST_DOCS)).select("term").distinct()
     t = held.join(common, "term", "left_semi").toPandas()
-    t = t.assign(rate=t.n / np.maximum(docs[t.subject.to_numpy(np.int64)], 1))
+    t = t.assign(all=t.groupby("term").n.transform("sum"))
+    t = t[t.subject >= 0]
+    of = docs[t.subject.to_numpy(np.int64)]
+    t = t.assign(rate=t.n / np.maximum(of, 1), others=(t["all"] - t.n) / np.maximum(docs.sum() - of, 1))
     t = t.assign(share=t.rate / t.groupby("term").rate.transform("sum"))
-    t = t[(t.share >= TOPICAL_PURITY) & (t.n >= LEAST_DOCS) & (t.rate >= TOPICAL_RATE)]
+    t = t[(t.share >= TOPICAL_PURITY) & (t.n >= LEAST_DOCS) & (t.rate >= TOPICAL_RATE) & (t.rate >= TOPICAL_TIMES * t.others)]
     lexicon = Terms(t.term.to_numpy(np.int64))
     owner = np.zeros(len(lexicon), np.int64)
     owner[lexicon.find(t.term.to_numpy(np.int64))] = t.subject.to_numpy(np.int64)  # one subject a term, as its share is above half
@@ -317,6 +329,7 @@ def topical(terms: DataFrame, groups: Groups) -> tuple[Terms, np.ndarray, np.nda
     table[words.grp.to_numpy(np.int64), lexicon.find(words.term.to_numpy(np.int64))] = words.words.to_numpy()
     whole = table.sum(0)
     table = np.array([np.where(discriminative(row, whole) > 0, row, 0) for row in table]).reshape(table.shape)
+    table[groups.subject < 0] = 0
     some = table.sum(1) > 0  # a group with no discriminative term tells nothing
     profile = table[some] / table[some].sum(1, keepdims=True)
     return lexicon, owner, groups.subject[some], 0.98 * profile + 0.02 / max(len(lexicon), 1)
