@@ -145,7 +145,8 @@ class RouteSearch:
         rows = [(f"{a}\t{b}", a, b, *(float(self.sites[s][c]) for s in (a, b) for c in ("x", "y", "h"))) for a, b in fresh]
         df = self.spark.createDataFrame(rows, "link_id string, a string, b string, ax double, ay double, ah double, bx double, by double, bh double")
         got = self.evaluate(df, self.tiles, replace(self.radio, sample_step_m=step), self.res, ends=("router", "router"))
-        for r in got.select("a", "b", "state", "two_way_db", "valid", "los_clear", "fresnel_clear", "fresnel_ratio").toLocalIterator():
+        ratio = F.col("fresnel_ratio") if "fresnel_ratio" in got.columns else F.lit(float("inf"))  # another link model may not know it
+        for r in got.select("a", "b", "state", "two_way_db", "valid", "los_clear", "fresnel_clear", ratio.alias("fresnel_ratio")).toLocalIterator():
             ok = r.state is None and r.valid
             self.rejected["terrain"] += not ok
             self.done[step, r.a, r.b] = {"w": r.two_way_db, "clear": bool(r.los_clear and r.fresnel_clear), "los": bool(r.los_clear), "fresnel": r.fresnel_ratio} if ok else None
