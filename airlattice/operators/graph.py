@@ -234,8 +234,8 @@ class Graph:
         mast = lambda b: 100.0 + self.fact(b, "height")
         return self._best_first(source, target, (0.0,), lambda c, a, b: (c[0] + (mast(b) if b != target else 0.0) + self.length[a, b] / 1e6,))
 
-    def disjoint_paths(self, source: str, target: str, most: int = 8) -> list[list[str]]:
-        """As many paths without common inner nodes as there are, by augmenting unit flows through split nodes."""
+    def disjoint_paths(self, source: str, target: str, most: int | None = None) -> list[list[str]]:
+        """As many paths without common inner nodes as there are, or `most`, by augmenting unit flows through split nodes."""
         flow: set[tuple[str, str]] = set()
 
         def residual(node: tuple[str, str]):
@@ -253,7 +253,7 @@ class Graph:
                     if (a, name) in flow:
                         yield (a, "out")
 
-        for _ in range(most):
+        for _ in range(len(self.near[source]) if most is None else most):  # no more than the source's edges
             came, queue = {(source, "out"): None}, [(source, "out")]
             for node in queue:
                 if node[0] == target:

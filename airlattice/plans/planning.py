@@ -464,6 +464,19 @@ def g7(spark, d):
     return routes.searched(*route_links(spark, d), lambda g, s, t: _places(g.disjoint_paths(s, t)), "path int, place int, id string")
 
 
+@query("g7_disjoint_count", f"""{_NET}, ts AS (SELECT net, min(id) AS s, max(id) AS t FROM si GROUP BY net HAVING count(*) > 1),
+  inn AS (SELECT si.net, id, row_number() OVER (PARTITION BY si.net ORDER BY id) - 1 AS i FROM si JOIN ts ON ts.net = si.net AND id NOT IN (s, t)),
+  ms AS (SELECT ts.net, unnest(range(CAST(1 AS BIGINT) << (SELECT count(*) FROM inn WHERE inn.net = ts.net))) AS mask FROM ts),
+  r AS (SELECT ms.net, mask, s AS id FROM ms JOIN ts ON ts.net = ms.net UNION SELECT r.net, r.mask, u.b FROM r JOIN ts ON ts.net = r.net JOIN u ON u.net = r.net AND u.a = r.id LEFT JOIN inn ON inn.net = u.net AND inn.id = u.b
+    WHERE NOT (u.a = ts.s AND u.b = ts.t) AND (inn.i IS NULL OR (r.mask >> inn.i) & 1 = 0)),
+  cu AS (SELECT ms.net, min(bit_count(ms.mask)) AS cut FROM ms JOIN ts ON ts.net = ms.net WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.net = ms.net AND r.mask = ms.mask AND r.id = ts.t) GROUP BY ms.net)
+  SELECT cu.net, CAST(cut + CASE WHEN EXISTS (SELECT 1 FROM u JOIN ts ON ts.net = u.net AND u.a = ts.s AND u.b = ts.t WHERE u.net = cu.net) THEN 1 ELSE 0 END AS INT) AS paths FROM cu""")
+def g7_count(spark, d):
+    """How many routes without a common site a network has: as many as the fewest sites whose loss parts its ends, which is what
+    the SQL looks for, and one for a link between the ends."""
+    return routes.searched(*route_links(spark, d), lambda g, s, t: [[len(g.disjoint_paths(s, t))]], "paths int")
+
+
 @query("g11_bounded_margin", f"{_NET}{_PATHS}, b AS (SELECT net, unnest([1, 2, 3, 4]) AS most FROM ts) SELECT b.net, b.most AS max_hops, {radio._Q4.format('max(margin)')} AS margin_db FROM b JOIN fu ON fu.net = b.net AND fu.hops <= b.most GROUP BY b.net, b.most")
 def g11(spark, d):
     """The widest margin of a path of so many hops at most."""
