@@ -85,13 +85,15 @@ def overlay(cells: DataFrame, spacing: float, side: int = 384) -> DataFrame:
 
 def thin_profile(samples: DataFrame, most: int = 1000) -> DataFrame:
     """At most `most` samples of each link, its lowest and highest in every stride kept, and both ends. samples:
-    link_id, i, n, h."""
+    link_id, i, n, h. The extremes carry their samples through one aggregation: nothing is joined back, so no list of what
+    is kept goes to the driver, however few bytes the links took when they were read."""
     stride = F.greatest(F.ceil(F.col("n") * 2 / F.lit(most - 2)).cast("int"), F.lit(1))
-    s = samples.withColumn("bin", F.expr("i") / stride).withColumn("bin", F.floor("bin"))
-    ext = s.groupBy("link_id", "bin").agg(F.min(F.struct("h", "i")).alias("lo"), F.max(F.struct("h", F.negative("i").alias("j"))).alias("hi"))
-    keep = ext.select("link_id", F.explode(F.array(F.col("lo.i"), -F.col("hi.j"))).alias("i"))
-    ends = samples.filter("i = 0 or i = n - 1").select("link_id", "i")
-    return samples.join(keep.unionByName(ends).distinct(), ["link_id", "i"], "left_semi")
+    end = (F.col("i") == 0) | (F.col("i") == F.col("n") - 1)
+    s = samples.select("link_id", "i", "n", "h")
+    ext = s.groupBy("link_id", F.floor(F.col("i") / stride).alias("bin")).agg(F.min(F.struct("h", "i", "n")).alias("lo"), F.max(F.struct("h", F.negative("i").alias("j"), "n")).alias("hi"))
+    lo, hi = F.struct("lo.i", "lo.n", "lo.h"), F.struct(F.negative("hi.j").alias("i"), "hi.n", "hi.h")
+    inner = ext.select("link_id", F.explode(F.array_distinct(F.array(lo, hi))).alias("s")).select("link_id", "s.*").filter(~end)
+    return inner.unionByName(s.filter(end))
 
 
 def ordered_links(links: DataFrame, path: DataFrame) -> DataFrame:

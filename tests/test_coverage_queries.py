@@ -1,5 +1,8 @@
 """Coverage queries on small made-up runs, against plain Python; runs of different sizes and places."""
 
+import math
+from collections import defaultdict
+
 import pytest
 
 from airlattice.plans import coverage, planning, radio
@@ -42,3 +45,27 @@ def test_long_links_are_evaluated(spark, tmp_path):
     assert {r.link_id: r.samples for r in radio.QUERIES["j20_profile_explode"](spark, str(tmp_path)).collect()} == n
     for name in ("f17_sample_points", "a17_thin_profiles"):
         assert {r.link_id for r in planning.QUERIES[name](spark, str(tmp_path)).select("link_id").collect()} == set(n)
+
+
+def test_thin_profiles_join_nothing_back(spark, tmp_path):
+    """No list of kept samples is joined, so none is broadcast; those kept are the extremes of a stride and the ends, once each,
+    also of a cell that is given at two places, whose links share an id."""
+    cells = [(0, 900.0, 350.0), (1, 7_300.0, -2_150.0), (1, 26_250.0, 4_650.0), (2, -3_450.0, 19_750.0)]
+    rows = [("j", "ep", i, x, y, [("s00001",), ("s00002",)]) for i, x, y in cells]
+    spark.createDataFrame(rows, "job_id string, endpoint string, `index` bigint, x double, y double, sources array<struct<source_id: string>>").write.parquet(str(tmp_path / "coverage.parquet"))
+    want, bins = [], defaultdict(list)
+    for i, bx, by in cells:
+        for num in (1, 2):
+            ax, ay = num * 7919 % 10000 - 5000.0, num * 104729 % 10000 - 5000.0
+            d = math.sqrt((bx - ax) ** 2 + (by - ay) ** 2)
+            n = max(math.ceil(d / 200) + 1, 3)
+            for k in range(n):
+                t = (d if k == n - 1 else k * (d / (n - 1))) / d
+                h = float((math.floor(ax + t * (bx - ax)) * 7 + math.floor(ay + t * (by - ay)) * 13) % 200)
+                bins[f"j/{i}/s0000{num}", k // max(math.ceil(n * 2 / 18), 1)].append((k, n, h))
+    for (link, _), s in bins.items():
+        low, high = min(s, key=lambda r: (r[2], r[0])), min(s, key=lambda r: (-r[2], r[0]))
+        want += [(link, *r) for r in s if r in (low, high) or r[0] in (0, r[1] - 1)]
+    thin = planning.QUERIES["a17_thin_profiles"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in thin.collect()) == sorted(want)
+    assert "Join" not in thin._jdf.queryExecution().executedPlan().toString()
